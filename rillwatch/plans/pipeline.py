@@ -1,0 +1,40 @@
+"""The stages put together."""
+
+from pyspark.sql import DataFrame
+
+from ..operators import (
+    alert_messages,
+    decode_frames,
+    packet_traffic,
+    rolling_anomalies,
+    traffic_aggregate,
+)
+from ..schemas import TICK, WINDOW
+from ..session import cut_lineage
+from ..streaming.detector import stream_rolling_anomalies
+
+
+def packets_to_warnings(
+    packets: DataFrame, net: int, mask: int, tick: str = TICK, window: str = WINDOW
+) -> DataFrame:
+    """Packets to warnings. The aggregates, one row per window, are stored in between."""
+    return rolling_anomalies(cut_lineage(packet_traffic(packets, net, mask, window, tick)))
+
+
+def frames_to_alerts(
+    frames: DataFrame, net: int, mask: int, tick: str = TICK, window: str = WINDOW
+) -> DataFrame:
+    """Captured frames to alert rows."""
+    return alert_messages(packets_to_warnings(decode_frames(frames), net, mask, tick, window))
+
+
+def flows_to_warnings(flows: DataFrame, window: str = WINDOW) -> DataFrame:
+    """Parsed flows to warnings."""
+    return rolling_anomalies(cut_lineage(traffic_aggregate(flows, window)))
+
+
+def stream_flows_to_warnings(
+    flows: DataFrame, window: str = WINDOW, watermark: str = "0 seconds"
+) -> DataFrame:
+    """One streaming query from flows to warnings: windows close, then each is checked."""
+    return stream_rolling_anomalies(traffic_aggregate(flows, window, watermark=watermark))
