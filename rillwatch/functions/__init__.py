@@ -3,6 +3,7 @@
 from .addresses import ip_to_text, text_to_ip
 from .keys import flow_key, group_key, joined_identity
 from .numbers import micros_between, one_decimal, round_half_up
+from .once import with_once
 from .packets import direction, flag_count, flags_text, has_flag, protocol_name, short_direction
 
 __all__ = [
@@ -20,4 +21,5 @@ __all__ = [
     "round_half_up",
     "short_direction",
     "text_to_ip",
+    "with_once",
 ]

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.once import with_once
 from ..functions.packets import TCP, UDP, direction
 
 # fixed values: EtherTypes and header lengths in bytes
@@ -31,25 +32,27 @@ def decode_frames(frames: DataFrame) -> DataFrame:
     costs six byte conversions.
     """
     # No kept packet has fewer bytes than this, and it makes the reads below complete.
-    whole = frames.where(F.col("caplen") >= ETHERNET_HEADER + IPV4_HEADER)
-
-    tagged = (F.shiftright("link", 32) == ETHERTYPE_VLAN)
-    linked = whole.withColumn("link", _number(12, 6)).select(
-        "pkt_seq",
-        "ts",
-        "caplen",
-        "frame",
-        F.when(tagged, F.col("link").bitwiseAND(F.lit(0xFFFF)))
-        .otherwise(F.shiftright("link", 32))
-        .alias("ether_type"),
-        F.when(tagged, ETHERNET_HEADER + VLAN_TAG).otherwise(ETHERNET_HEADER).alias("ip_at"),
+    whole = frames.select("pkt_seq", "ts", "caplen", "frame").where(
+        F.col("caplen") >= ETHERNET_HEADER + IPV4_HEADER
+    )
+    tagged = F.shiftright("link", 32) == ETHERTYPE_VLAN
+    inner_type = F.col("link").bitwiseAND(F.lit(0xFFFF))
+    linked = (
+        with_once(whole, _number(12, 6).alias("link"))
+        .withColumn("ether_type", F.when(tagged, inner_type).otherwise(F.shiftright("link", 32)))
+        .withColumn("ip_at", F.when(tagged, ETHERNET_HEADER + VLAN_TAG).otherwise(ETHERNET_HEADER))
     )
     ip_at = F.col("ip_at")
+    ipv4 = linked.where(
+        (F.col("ether_type") == ETHERTYPE_IPV4) & (F.col("caplen") >= ip_at + IPV4_HEADER)
+    )
     addressed = (
-        linked.where((F.col("ether_type") == ETHERTYPE_IPV4) & (F.col("caplen") >= ip_at + IPV4_HEADER))
-        .withColumn("head", _number(ip_at, 4))
-        .withColumn("middle", _number(ip_at + 9, 7))
-        .withColumn("dst_ip", _number(ip_at + 16, 4))
+        with_once(
+            ipv4,
+            _number(ip_at, 4).alias("head"),
+            _number(ip_at + 9, 7).alias("middle"),
+            _number(ip_at + 16, 4).alias("dst_ip"),
+        )
         .withColumn("version", F.shiftright("head", 28))
         .withColumn("ip_length", F.shiftright("head", 24).bitwiseAND(F.lit(15)).cast("int") * 4)
         .withColumn("protocol", F.shiftright("middle", 48).cast("int"))

@@ -1,33 +1,32 @@
 """JSON topic values to rows, with the acceptance rules of each record type.
 
-Every reader turns the text into one VARIANT value, once per record, and takes the fields from it.
-VARIANT keeps apart a key that is missing, a key that is ``null`` and the type of a scalar, which is
-what the rules depend on.
+The rules depend on whether a key is missing or ``null`` and on the type of a scalar, which a
+VARIANT keeps apart. Flows, the bulk of the data, are first read against a fixed schema; only
+records that leave a field open there are read as VARIANT.
 """
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import flow_key
+from ..functions.once import with_once
 from ..schemas import DIRECTIONS, FLOWS, PROTOCOLS, TIMESTAMP_PATTERN
 
-# fixed values: keys of the records
-MICROFLOW_KEYS = (
-    "src_ip",
-    "src_port",
-    "dst_ip",
-    "dst_port",
-    "protocol",
-    "dir",
-    "packets",
-    "bytes",
-    "min_size",
-    "max_size",
-    "mean_iat_us",
-)
-MICROFLOW_TCP_KEYS = ("syn", "ack", "fin", "rst")
+# fixed values: keys of the records, with the column a microflow key becomes
+MICROFLOW_TEXTS = {"src_ip": "src_ip", "dst_ip": "dst_ip", "protocol": "protocol", "dir": "dir"}
+MICROFLOW_COUNTS = {
+    "src_port": "src_port",
+    "dst_port": "dst_port",
+    "packets": "packet_count",
+    "bytes": "byte_count",
+    "min_size": "min_packet_size",
+    "max_size": "max_packet_size",
+}
+TCP_FLAGS = ("syn", "fin", "rst", "ack")
 AGGREGATE_TIMES = ("timestamp_start", "timestamp_end")
 AGGREGATE_COUNTS = (
     "bytes_inbound",
@@ -45,107 +44,151 @@ WARNING_KEYS = ("severidade", "descricao")
 
 # doubles from here on have no BIGINT value
 _BIGINT_EDGE = 9.2e18
+_STRICT_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+_STRICT_MICROFLOW = (
+    ", ".join(f"{name} STRING" for name in MICROFLOW_TEXTS)
+    + ", "
+    + ", ".join(f"{name} BIGINT" for name in MICROFLOW_COUNTS)
+    + ", mean_iat_us DOUBLE, tcp STRUCT<"
+    + ", ".join(f"{flag}: BIGINT" for flag in TCP_FLAGS)
+    + ">"
+)
+
+
+def _all(conditions: Sequence[Column]) -> Column:
+    return F.coalesce(reduce(and_, conditions), F.lit(False))
+
 
+def _document(text: Column, build: Callable[[Column], Column]) -> Column:
+    """``build`` applied to the parsed text. Malformed text gives a NULL document.
 
-def _with_document(raw: DataFrame, value: str) -> DataFrame:
-    """Add ``_doc``. Generating it keeps the optimizer from repeating the parse per use."""
-    parsed = F.struct(F.try_parse_json(F.col(value)).alias("_doc"))
-    return raw.select("*", F.inline(F.array(parsed)))
+    The many small lookups run inside a lambda, which keeps them out of the generated code of the
+    stage: there they would make one method too large to be compiled.
+    """
+    return F.get(F.transform(F.array(F.try_parse_json(text)), build), F.lit(0))
+
+
+def _field(doc: Column, path: str) -> Column:
+    return F.variant_get(doc, f"$.{path}", "variant")
 
 
-def _field(path: str) -> Column:
-    return F.variant_get("_doc", f"$.{path}", "variant")
+def _type(doc: Column, path: str) -> Column:
+    """Type name of a field's value, VOID when it is null or missing."""
+    return F.coalesce(F.schema_of_variant(_field(doc, path)), F.lit("VOID"))
 
 
-def _has(path: str) -> Column:
-    return _field(path).isNotNull()
+def _is_object(doc: Column) -> Column:
+    return F.schema_of_variant(doc).startswith("OBJECT")
 
 
-def _text(path: str) -> Column:
-    """Scalars as text, '' for an object or array, NULL for a JSON null."""
-    text = F.try_variant_get("_doc", f"$.{path}", "string")
-    # only text that opens like a container needs its type looked up
-    nested = F.schema_of_variant(_field(path)).rlike("^(OBJECT|ARRAY)")
-    return F.when(text.rlike(r"^[{\[]") & nested, F.lit("")).otherwise(text)
+def _text(doc: Column, path: str) -> Column:
+    """Scalars as text, '' for an object or array, NULL for a null."""
+    nested = _type(doc, path).rlike("^(OBJECT|ARRAY)")
+    return F.when(~nested, F.try_variant_get(doc, f"$.{path}", "string")).otherwise("")
 
 
-def _double(path: str) -> Column:
+def _double(doc: Column, path: str) -> Column:
     """Number, numeric text or boolean as DOUBLE; 0 for anything else."""
-    return F.coalesce(F.try_variant_get("_doc", f"$.{path}", "double"), F.lit(0.0))
+    return F.coalesce(F.try_variant_get(doc, f"$.{path}", "double"), F.lit(0.0))
 
 
-def _integer(path: str) -> Column:
+def _integer(doc: Column, path: str) -> Column:
     """As :func:`_double`, cut to its integer part."""
-    exact = F.try_variant_get("_doc", f"$.{path}", "bigint")
-    cut = F.least(F.greatest(_double(path), F.lit(-_BIGINT_EDGE)), F.lit(_BIGINT_EDGE)).cast("bigint")
-    return F.coalesce(exact, cut)
+    exact = F.try_variant_get(doc, f"$.{path}", "bigint")
+    inside = F.least(F.greatest(_double(doc, path), F.lit(-_BIGINT_EDGE)), F.lit(_BIGINT_EDGE))
+    return F.coalesce(exact, inside.cast("bigint"))
+
+
+def _lenient_microflow(doc: Column) -> Column:
+    """The flow's fields when every key is present at both levels, else NULL."""
+    paths = [*MICROFLOW_TEXTS, *MICROFLOW_COUNTS, "mean_iat_us", *[f"tcp.{f}" for f in TCP_FLAGS]]
+    return F.when(
+        _all([_field(doc, path).isNotNull() for path in paths]),
+        F.struct(
+            *[_text(doc, name).alias(column) for name, column in MICROFLOW_TEXTS.items()],
+            *[_integer(doc, name).alias(column) for name, column in MICROFLOW_COUNTS.items()],
+            _double(doc, "mean_iat_us").alias("mean_iat_us"),
+            *[_integer(doc, f"tcp.{flag}").alias(f"tcp_{flag}_count") for flag in TCP_FLAGS],
+        ),
+    )
 
 
-def _valid_microflow() -> Column:
-    """All keys present at both levels, protocol and direction known (case-sensitive)."""
-    present = _has(MICROFLOW_KEYS[0])
-    for name in MICROFLOW_KEYS[1:]:
-        present = present & _has(name)
-    for name in MICROFLOW_TCP_KEYS:
-        present = present & _has(f"tcp.{name}")
-    known = _text("protocol").isin(*PROTOCOLS) & _text("dir").isin(*DIRECTIONS)
-    return F.coalesce(present & known, F.lit(False))
+def _with_flow(raw: DataFrame, value: str) -> DataFrame:
+    """Add ``_flow``, NULL for records that break the contract.
+
+    Contract: all keys present at both levels, protocol and direction known (case-sensitive).
+    A null or non-numeric number is 0, other numbers are cut to integers, extra keys are ignored.
+    """
+    strict = F.from_json(F.col(value), _STRICT_MICROFLOW, _STRICT_JSON)
+    read = with_once(raw, strict.alias("_strict"))
+
+    def got(path: str) -> Column:
+        return F.col(f"_strict.{path}")
+
+    numbers = [*MICROFLOW_COUNTS, "mean_iat_us", *[f"tcp.{flag}" for flag in TCP_FLAGS]]
+    # text that opens like an object or array may stand for one
+    plain = [~(got(name).startswith("{") | got(name).startswith("[")) for name in MICROFLOW_TEXTS]
+    complete = _all([*[got(path).isNotNull() for path in numbers], *plain])
+    fields = F.struct(
+        *[got(name).alias(column) for name, column in {**MICROFLOW_TEXTS, **MICROFLOW_COUNTS}.items()],
+        got("mean_iat_us").alias("mean_iat_us"),
+        *[got(f"tcp.{flag}").alias(f"tcp_{flag}_count") for flag in TCP_FLAGS],
+    )
+    flow = F.when(complete, fields).otherwise(_document(F.col(value), _lenient_microflow))
+    known = F.col("_found.protocol").isin(*PROTOCOLS) & F.col("_found.dir").isin(*DIRECTIONS)
+    return (
+        read.withColumn("_found", flow)
+        .withColumn("_flow", F.when(known, F.col("_found")))
+        .drop("_strict", "_found")
+    )
 
 
 def parse_flows(raw: DataFrame, value: str = "value", event_time: str = "timestamp") -> DataFrame:
     """Flows of the valid microflow records in ``raw``; other records are dropped."""
-    valid = _with_document(raw, value).where(_valid_microflow())
+    valid = _with_flow(raw, value).where(F.col("_flow").isNotNull())
     fields = valid.select(
-        _text("src_ip").alias("src_ip"),
-        _integer("src_port").alias("src_port"),
-        _text("dst_ip").alias("dst_ip"),
-        _integer("dst_port").alias("dst_port"),
-        _text("protocol").alias("protocol"),
-        _text("dir").alias("dir"),
-        _integer("packets").alias("packet_count"),
-        _integer("bytes").alias("byte_count"),
-        _integer("min_size").alias("min_packet_size"),
-        _integer("max_size").alias("max_packet_size"),
+        "_flow.*",
         F.col(event_time).alias("timestamp"),
         F.current_timestamp().alias("ingest_time"),
-        _double("mean_iat_us").alias("mean_iat_us"),
-        *[_integer(f"tcp.{flag}").alias(f"tcp_{flag}_count") for flag in MICROFLOW_TCP_KEYS],
     )
     return fields.withColumn("flow_key", flow_key()).select(*FLOWS.names)
 
 
 def parse_rejects(raw: DataFrame, value: str = "value") -> DataFrame:
     """The records :func:`parse_flows` drops, unchanged, for a quarantine table."""
-    return _with_document(raw, value).where(~_valid_microflow()).drop("_doc")
-
+    return _with_flow(raw, value).where(F.col("_flow").isNull()).drop("_flow")
 
-def _type(path: str) -> Column:
-    """Type name of a field's value; NULL when the key is missing."""
-    return F.schema_of_variant(_field(path))
 
-
-def _count_ok(path: str) -> Column:
-    kind = F.coalesce(_type(path), F.lit("VOID"))
-    whole_text = F.try_variant_get("_doc", f"$.{path}", "string").rlike(r"^\s*([+-]?[0-9]+)?\s*$")
+def _count_ok(doc: Column, path: str) -> Column:
+    kind = _type(doc, path)
+    whole_text = F.try_variant_get(doc, f"$.{path}", "string").rlike(r"^\s*([+-]?[0-9]+)?\s*$")
     return kind.rlike("^(VOID|BIGINT|DECIMAL|DOUBLE|FLOAT)") | ((kind == "STRING") & whole_text)
 
 
-def _time(path: str) -> Column:
-    text = F.try_variant_get("_doc", f"$.{path}", "string")
+def _time(doc: Column, path: str) -> Column:
+    text = F.try_variant_get(doc, f"$.{path}", "string")
     return F.try_to_timestamp(text, F.lit(TIMESTAMP_PATTERN))
 
 
-def _time_ok(path: str) -> Column:
-    kind = F.coalesce(_type(path), F.lit("VOID"))
-    blank = F.try_variant_get("_doc", f"$.{path}", "string") == ""
-    return (kind == "VOID") | ((kind == "STRING") & (blank | _time(path).isNotNull()))
-
-
-def _all(conditions: Sequence[Column]) -> Column:
-    result = conditions[0]
-    for condition in conditions[1:]:
-        result = result & condition
-    return F.coalesce(result, F.lit(False))
+def _time_ok(doc: Column, path: str) -> Column:
+    kind = _type(doc, path)
+    blank = F.try_variant_get(doc, f"$.{path}", "string") == ""
+    return (kind == "VOID") | ((kind == "STRING") & (blank | _time(doc, path).isNotNull()))
+
+
+def _aggregate(doc: Column) -> Column:
+    checks = [_is_object(doc)]
+    checks += [_count_ok(doc, name) for name in AGGREGATE_COUNTS]
+    checks += [_time_ok(doc, name) for name in (*AGGREGATE_TIMES, *WINDOW_BOUNDS)]
+    return F.when(
+        _all(checks),
+        F.struct(
+            F.coalesce(_time(doc, "window_start"), _time(doc, "timestamp_start")).alias("window_start"),
+            _time(doc, "window_end").alias("window_end"),
+            *[_time(doc, name).alias(name) for name in AGGREGATE_TIMES],
+            *[_integer(doc, name).alias(name) for name in AGGREGATE_COUNTS],
+        ),
+    )
 
 
 def parse_aggregates(raw: DataFrame, value: str = "value", key: str | None = "key") -> DataFrame:
@@ -155,32 +198,34 @@ def parse_aggregates(raw: DataFrame, value: str = "value", key: str | None = "ke
     unreadable timestamp rejects the record. Records written without window bounds take
     ``timestamp_start`` as their window start.
     """
-    checks = [F.schema_of_variant("_doc").startswith("OBJECT")]
-    checks += [_count_ok(name) for name in AGGREGATE_COUNTS]
-    checks += [_time_ok(name) for name in (*AGGREGATE_TIMES, *WINDOW_BOUNDS)]
-    valid = _with_document(raw, value).where(_all(checks))
     packets = F.col("packets_inbound") + F.col("packets_outbound")
     volume = F.col("bytes_inbound") + F.col("bytes_outbound")
-    return valid.select(
-        (F.col(key) if key else F.lit(None).cast("string")).alias("key"),
-        F.coalesce(_time("window_start"), _time("timestamp_start")).alias("window_start"),
-        _time("window_end").alias("window_end"),
-        *[_time(name).alias(name) for name in AGGREGATE_TIMES],
-        *[_integer(name).alias(name) for name in AGGREGATE_COUNTS],
-    ).withColumn(
-        "average_packet_size",
-        F.when(packets == 0, F.lit(0.0)).otherwise(volume.cast("double") / packets),
+    return (
+        with_once(raw, _document(F.col(value), _aggregate).alias("_aggregate"))
+        .where(F.col("_aggregate").isNotNull())
+        .select((F.col(key) if key else F.lit(None).cast("string")).alias("key"), "_aggregate.*")
+        .withColumn(
+            "average_packet_size",
+            F.when(packets == 0, F.lit(0.0)).otherwise(volume.cast("double") / packets),
+        )
+    )
+
+
+def _warning(doc: Column) -> Column:
+    nested = [_type(doc, name).rlike("^(OBJECT|ARRAY)") for name in WARNING_KEYS]
+    return F.when(
+        _all([_is_object(doc), *[~one for one in nested]]),
+        F.struct(*[_text(doc, name).alias(name) for name in WARNING_KEYS]),
     )
 
 
 def parse_warnings(raw: DataFrame, value: str = "value") -> DataFrame:
     """Warnings (severidade, descricao); records with other keys or nested values are skipped."""
-    keys = F.json_object_keys(F.col(value))
-    checks = [
-        F.schema_of_variant("_doc").startswith("OBJECT"),
-        F.size(F.array_except(keys, F.array(*[F.lit(name) for name in WARNING_KEYS]))) == 0,
-    ]
-    checks += [~F.coalesce(_type(name), F.lit("VOID")).rlike("^(OBJECT|ARRAY)") for name in WARNING_KEYS]
-    return _with_document(raw, value).where(_all(checks)).select(
-        *[_text(name).alias(name) for name in WARNING_KEYS]
+    known = F.array(*[F.lit(name) for name in WARNING_KEYS])
+    unknown = F.array_except(F.json_object_keys(F.col(value)), known)
+    read = with_once(
+        raw,
+        _document(F.col(value), _warning).alias("_warning"),
+        F.size(unknown).alias("_unknown"),
     )
+    return read.where(F.col("_warning").isNotNull() & (F.col("_unknown") == 0)).select("_warning.*")

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.once import with_once
 from ..schemas import FLOWS, TIMESTAMP_PATTERN
 
 # fixed value: keys of a flow record in writing order
@@ -82,7 +83,7 @@ def read_flow_json(records: DataFrame, value: str = "value") -> DataFrame:
     )
     checked = F.when(F.size(unknown) > 0, F.raise_error(F.concat(F.lit("unknown flow keys: "), F.to_json(unknown))))
     text = F.coalesce(checked.cast("string"), F.col(value))
-    parsed = records.select(F.inline(F.array(F.struct(F.parse_json(text).alias("_doc")))))
+    parsed = with_once(records, F.parse_json(text).alias("_doc"))
 
     def part(position: int) -> Column:
         return F.variant_get("_doc", f"$.timestamp[{position}]", "int")

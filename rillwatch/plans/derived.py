@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.addresses import ip_to_text
+from ..functions.once import with_once
 from ..functions.packets import direction, protocol_name
 
 # fixed values: the local network 10.42.1.0/24 and a remote one
@@ -115,12 +116,8 @@ def frames(events: DataFrame) -> DataFrame:
         F.repeat(F.lit("AB"), SNAPLEN),
     )
     kept = F.when(seq % 43 == 0, 40).when(seq % 47 == 0, 30).otherwise(SNAPLEN)
-    return events.select(
-        seq.alias("pkt_seq"),
-        "ts",
-        kept.alias("caplen"),
-        F.unhex(F.substring(whole, F.lit(1), kept * 2)).alias("frame"),
-    )
+    frame = F.unhex(F.substring(whole, F.lit(1), kept * 2)).alias("frame")
+    return with_once(events, frame).select(seq.alias("pkt_seq"), "ts", kept.alias("caplen"), "frame")
 
 
 def raw_records(events: DataFrame) -> DataFrame:

@@ -14,7 +14,9 @@ def tap(df: DataFrame, name: str, **extra) -> DataFrame:
 
 def read_table_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Stream over a parquet table, a single file or a folder of files."""
-    return spark.readStream.schema(schema).parquet(path)
+    # a file source takes a plain path for a folder; a pattern may also name one file
+    pattern = f"{path[:-1]}[{path[-1]}]"
+    return spark.readStream.schema(schema).parquet(pattern)
 
 
 def drain(stream: DataFrame, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
