@@ -1,8 +1,9 @@
 """JSON topic values to rows, with the acceptance rules of each record type.
 
-The rules depend on whether a key is missing or ``null`` and on the type of a scalar, which a
-VARIANT keeps apart. Flows, the bulk of the data, are first read against a fixed schema; only
-records that leave a field open there are read as VARIANT.
+The rules depend on whether a key is missing or ``null`` and on the type of a scalar. Flows, the
+bulk of the data, are read once against their usual types; only a record that leaves a field open
+there is read again, as text, and judged in detail. Aggregates and warnings are few and are read
+as VARIANT, which keeps all of these cases apart.
 """
 
 from collections.abc import Callable, Sequence
@@ -17,7 +18,7 @@ from ..functions.once import with_once
 from ..schemas import DIRECTIONS, FLOWS, PROTOCOLS, TIMESTAMP_PATTERN
 
 # fixed values: keys of the records, with the column a microflow key becomes
-MICROFLOW_TEXTS = {"src_ip": "src_ip", "dst_ip": "dst_ip", "protocol": "protocol", "dir": "dir"}
+MICROFLOW_TEXTS = ("src_ip", "dst_ip", "protocol", "dir")
 MICROFLOW_COUNTS = {
     "src_port": "src_port",
     "dst_port": "dst_port",
@@ -27,6 +28,7 @@ MICROFLOW_COUNTS = {
     "max_size": "max_packet_size",
 }
 TCP_FLAGS = ("syn", "fin", "rst", "ack")
+FLOW_COUNTS = {**MICROFLOW_COUNTS, **{f"tcp.{flag}": f"tcp_{flag}_count" for flag in TCP_FLAGS}}
 AGGREGATE_TIMES = ("timestamp_start", "timestamp_end")
 AGGREGATE_COUNTS = (
     "bytes_inbound",
@@ -45,14 +47,14 @@ WARNING_KEYS = ("severidade", "descricao")
 # doubles from here on have no BIGINT value
 _BIGINT_EDGE = 9.2e18
 _STRICT_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
-_STRICT_MICROFLOW = (
-    ", ".join(f"{name} STRING" for name in MICROFLOW_TEXTS)
-    + ", "
-    + ", ".join(f"{name} BIGINT" for name in MICROFLOW_COUNTS)
-    + ", mean_iat_us DOUBLE, tcp STRUCT<"
-    + ", ".join(f"{flag}: BIGINT" for flag in TCP_FLAGS)
-    + ">"
-)
+
+
+def _microflow_type(number: str, mean: str) -> str:
+    """Schema text of a microflow record with the given types for counts and for the mean."""
+    texts = [f"{name} STRING" for name in MICROFLOW_TEXTS]
+    counts = [f"{name} {number}" for name in MICROFLOW_COUNTS]
+    flags = ", ".join(f"{flag}: {number}" for flag in TCP_FLAGS)
+    return ", ".join([*texts, *counts, f"mean_iat_us {mean}", f"tcp STRUCT<{flags}>"])
 
 
 def _all(conditions: Sequence[Column]) -> Column:
@@ -99,55 +101,99 @@ def _integer(doc: Column, path: str) -> Column:
     return F.coalesce(exact, inside.cast("bigint"))
 
 
-def _lenient_microflow(doc: Column) -> Column:
-    """The flow's fields when every key is present at both levels, else NULL."""
-    paths = [*MICROFLOW_TEXTS, *MICROFLOW_COUNTS, "mean_iat_us", *[f"tcp.{f}" for f in TCP_FLAGS]]
-    return F.when(
-        _all([_field(doc, path).isNotNull() for path in paths]),
-        F.struct(
-            *[_text(doc, name).alias(column) for name, column in MICROFLOW_TEXTS.items()],
-            *[_integer(doc, name).alias(column) for name, column in MICROFLOW_COUNTS.items()],
-            _double(doc, "mean_iat_us").alias("mean_iat_us"),
-            *[_integer(doc, f"tcp.{flag}").alias(f"tcp_{flag}_count") for flag in TCP_FLAGS],
-        ),
-    )
+def _present(value: Column) -> Column:
+    """All keys present at both levels."""
+    outer = [*MICROFLOW_TEXTS, *MICROFLOW_COUNTS, "mean_iat_us"]
+    inner = F.get_json_object(value, "$.tcp")
+    missing = [
+        F.size(F.array_except(F.array(*[F.lit(name) for name in names]), F.json_object_keys(text)))
+        for names, text in ((outer, value), (TCP_FLAGS, inner))
+    ]
+    return F.coalesce((missing[0] == 0) & (missing[1] == 0), F.lit(False))
+
+
+def _number(text: Column) -> Column:
+    """Numeric text as DOUBLE, NULL for other text."""
+    return text.try_cast("double")
+
+
+def _whole(text: Column) -> Column:
+    """Integer part of numeric text, NULL for other text."""
+    number = _number(text)
+    inside = F.least(F.greatest(number, F.lit(-_BIGINT_EDGE)), F.lit(_BIGINT_EDGE))
+    cut = F.when(number.isNotNull() & ~F.isnan(number), inside.cast("bigint"))
+    return F.coalesce(text.try_cast("bigint"), cut)
 
 
-def _with_flow(raw: DataFrame, value: str) -> DataFrame:
-    """Add ``_flow``, NULL for records that break the contract.
+def _unusual_flow(json: Column) -> Column:
+    """The flow of a record that does not fit the usual types, NULL if a key is missing.
+
+    Its values are read as text. A lambda holds the text, so that it is parsed once, and the
+    rare questions the text cannot answer (true or "true", an object or text like one) go back
+    to the record.
+    """
+    booleans = F.from_json(json, _microflow_type("BOOLEAN", "BOOLEAN"), _STRICT_JSON)
+
+    def fields(read: Column) -> Column:
+        def at(row: Column, path: str) -> Column:
+            return reduce(Column.getField, path.split("."), row)
+
+        def number(path: str, convert: Callable[[Column], Column], kind: str) -> Column:
+            text = at(read, path)
+            said = F.when(text.isin("true", "false"), at(booleans, path).cast("int").cast(kind))
+            return F.coalesce(said, convert(text), F.lit(0).cast(kind))
+
+        def address(name: str) -> Column:
+            text = at(read, name)
+            opens = text.startswith("{") | text.startswith("[")
+            kind = F.schema_of_variant(_field(F.try_parse_json(json), name))
+            return F.when(opens & kind.rlike("^(OBJECT|ARRAY)"), F.lit("")).otherwise(text)
+
+        return F.struct(
+            address("src_ip").alias("src_ip"),
+            address("dst_ip").alias("dst_ip"),
+            at(read, "protocol").alias("protocol"),
+            at(read, "dir").alias("dir"),
+            number("mean_iat_us", _number, "double").alias("mean_iat_us"),
+            *[number(path, _whole, "bigint").alias(column) for path, column in FLOW_COUNTS.items()],
+        )
+
+    text = F.from_json(json, _microflow_type("STRING", "STRING"), _STRICT_JSON)
+    return F.when(_present(json), F.get(F.transform(F.array(text), fields), F.lit(0)))
+
+
+def _read_flows(raw: DataFrame, value: str) -> tuple[DataFrame, Column]:
+    """``raw`` with the fields of its flows in ``_typed`` or ``_other``, and who is valid.
 
     Contract: all keys present at both levels, protocol and direction known (case-sensitive).
-    A null or non-numeric number is 0, other numbers are cut to integers, extra keys are ignored.
+    A null or non-numeric number is 0, true is 1, other numbers are cut to integers, extra keys
+    are ignored.
     """
-    strict = F.from_json(F.col(value), _STRICT_MICROFLOW, _STRICT_JSON)
-    read = with_once(raw, strict.alias("_strict"))
-
-    def got(path: str) -> Column:
-        return F.col(f"_strict.{path}")
-
-    numbers = [*MICROFLOW_COUNTS, "mean_iat_us", *[f"tcp.{flag}" for flag in TCP_FLAGS]]
-    # text that opens like an object or array may stand for one
-    plain = [~(got(name).startswith("{") | got(name).startswith("[")) for name in MICROFLOW_TEXTS]
-    complete = _all([*[got(path).isNotNull() for path in numbers], *plain])
-    fields = F.struct(
-        *[got(name).alias(column) for name, column in {**MICROFLOW_TEXTS, **MICROFLOW_COUNTS}.items()],
-        got("mean_iat_us").alias("mean_iat_us"),
-        *[got(f"tcp.{flag}").alias(f"tcp_{flag}_count") for flag in TCP_FLAGS],
-    )
-    flow = F.when(complete, fields).otherwise(_document(F.col(value), _lenient_microflow))
-    known = F.col("_found.protocol").isin(*PROTOCOLS) & F.col("_found.dir").isin(*DIRECTIONS)
-    return (
-        read.withColumn("_found", flow)
-        .withColumn("_flow", F.when(known, F.col("_found")))
-        .drop("_strict", "_found")
+    json = F.col(value)
+    usual_types = F.from_json(json, _microflow_type("BIGINT", "DOUBLE"), _STRICT_JSON)
+    read = with_once(raw, usual_types.alias("_typed"))
+    texts = [F.col(f"_typed.{name}") for name in MICROFLOW_TEXTS]
+    usual = _all(
+        [F.col(f"_typed.{path}").isNotNull() for path in ("mean_iat_us", *FLOW_COUNTS)]
+        # text that opens like an object or array may stand for one
+        + [text.isNotNull() & ~text.startswith("{") & ~text.startswith("[") for text in texts]
     )
+    other = F.when(~usual, _unusual_flow(json))
+    read = with_once(read, usual.alias("_usual"), other.alias("_other"))
+    known = _found("protocol").isin(*PROTOCOLS) & _found("dir").isin(*DIRECTIONS)
+    return read, F.coalesce(known, F.lit(False))
+
+
+def _found(path: str, column: str | None = None) -> Column:
+    return F.when(F.col("_usual"), F.col(f"_typed.{path}")).otherwise(F.col(f"_other.{column or path}"))
 
 
 def parse_flows(raw: DataFrame, value: str = "value", event_time: str = "timestamp") -> DataFrame:
     """Flows of the valid microflow records in ``raw``; other records are dropped."""
-    valid = _with_flow(raw, value).where(F.col("_flow").isNotNull())
-    fields = valid.select(
-        "_flow.*",
+    read, valid = _read_flows(raw, value)
+    fields = read.where(valid).select(
+        *[_found(name).alias(name) for name in (*MICROFLOW_TEXTS, "mean_iat_us")],
+        *[_found(path, column).alias(column) for path, column in FLOW_COUNTS.items()],
         F.col(event_time).alias("timestamp"),
         F.current_timestamp().alias("ingest_time"),
     )
@@ -156,7 +202,8 @@ def parse_flows(raw: DataFrame, value: str = "value", event_time: str = "timesta
 
 def parse_rejects(raw: DataFrame, value: str = "value") -> DataFrame:
     """The records :func:`parse_flows` drops, unchanged, for a quarantine table."""
-    return _with_flow(raw, value).where(F.col("_flow").isNull()).drop("_flow")
+    read, valid = _read_flows(raw, value)
+    return read.where(~valid).drop("_typed", "_usual", "_other")
 
 
 def _count_ok(doc: Column, path: str) -> Column:

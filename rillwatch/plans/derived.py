@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..functions.addresses import ip_to_text
 from ..functions.once import with_once
 from ..functions.packets import direction, protocol_name
+from ..schemas import layout
 
 # fixed values: the local network 10.42.1.0/24 and a remote one
 LOCAL_NET = 170524928
@@ -20,8 +21,13 @@ TICK = "10 minutes"
 WINDOW = "1 hour"
 SNAPLEN = 128
 
-EVENTS = T.StructType.fromDDL(
-    "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
+EVENTS = layout(
+    event_id=T.LongType(),
+    ts=T.TimestampNTZType(),
+    user_id=T.LongType(),
+    event_type=T.StringType(),
+    value=T.DoubleType(),
+    props=T.StringType(),
 )
 
 

@@ -48,41 +48,97 @@ AGGREGATE_SUMS = (
 )
 
 # --- layouts ------------------------------------------------------------------------------
-FRAMES = T.StructType.fromDDL("pkt_seq BIGINT, ts TIMESTAMP, caplen INT, frame BINARY")
+_LONG, _INT, _DOUBLE = T.LongType(), T.IntegerType(), T.DoubleType()
+_TEXT, _TIME = T.StringType(), T.TimestampType()
 
-PACKETS = T.StructType.fromDDL(
-    "pkt_seq BIGINT, ts TIMESTAMP, src_ip BIGINT, dst_ip BIGINT, src_port INT, dst_port INT,"
-    " protocol INT, payload_size BIGINT, tcp_flags INT"
+
+def layout(**columns: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
+
+
+FRAMES = layout(pkt_seq=_LONG, ts=_TIME, caplen=_INT, frame=T.BinaryType())
+
+PACKETS = layout(
+    pkt_seq=_LONG,
+    ts=_TIME,
+    src_ip=_LONG,
+    dst_ip=_LONG,
+    src_port=_INT,
+    dst_port=_INT,
+    protocol=_INT,
+    payload_size=_LONG,
+    tcp_flags=_INT,
 )
 
-MICROFLOWS = T.StructType.fromDDL(
-    "tick_start TIMESTAMP, src_ip STRING, src_port INT, dst_ip STRING, dst_port INT,"
-    " protocol STRING, dir STRING, packets BIGINT, bytes BIGINT, min_size INT, max_size INT,"
-    " mean_iat_us DOUBLE, tcp STRUCT<syn: BIGINT, ack: BIGINT, fin: BIGINT, rst: BIGINT>"
+MICROFLOWS = layout(
+    tick_start=_TIME,
+    src_ip=_TEXT,
+    src_port=_INT,
+    dst_ip=_TEXT,
+    dst_port=_INT,
+    protocol=_TEXT,
+    dir=_TEXT,
+    packets=_LONG,
+    bytes=_LONG,
+    min_size=_INT,
+    max_size=_INT,
+    mean_iat_us=_DOUBLE,
+    tcp=layout(syn=_LONG, ack=_LONG, fin=_LONG, rst=_LONG),
 )
 
-FLOWS = T.StructType.fromDDL(
-    "flow_key STRING, src_ip STRING, src_port BIGINT, dst_ip STRING, dst_port BIGINT,"
-    " protocol STRING, dir STRING, packet_count BIGINT, byte_count BIGINT,"
-    " min_packet_size BIGINT, max_packet_size BIGINT, timestamp TIMESTAMP,"
-    " ingest_time TIMESTAMP, mean_iat_us DOUBLE, tcp_syn_count BIGINT, tcp_fin_count BIGINT,"
-    " tcp_rst_count BIGINT, tcp_ack_count BIGINT"
+FLOWS = layout(
+    flow_key=_TEXT,
+    src_ip=_TEXT,
+    dst_ip=_TEXT,
+    src_port=_LONG,
+    dst_port=_LONG,
+    protocol=_TEXT,
+    dir=_TEXT,
+    packet_count=_LONG,
+    byte_count=_LONG,
+    min_packet_size=_LONG,
+    max_packet_size=_LONG,
+    timestamp=_TIME,
+    ingest_time=_TIME,
+    mean_iat_us=_DOUBLE,
+    tcp_syn_count=_LONG,
+    tcp_fin_count=_LONG,
+    tcp_rst_count=_LONG,
+    tcp_ack_count=_LONG,
 )
 
-AGGREGATES = T.StructType.fromDDL(
-    "key STRING, window_start TIMESTAMP, window_end TIMESTAMP, timestamp_start TIMESTAMP,"
-    " timestamp_end TIMESTAMP, bytes_inbound BIGINT, bytes_outbound BIGINT,"
-    " packets_inbound BIGINT, packets_outbound BIGINT, unique_flow_count BIGINT,"
-    " tcp_syn_total BIGINT, tcp_ack_total BIGINT, tcp_fin_total BIGINT, tcp_rst_total BIGINT,"
-    " average_packet_size DOUBLE"
+AGGREGATES = layout(
+    key=_TEXT,
+    window_start=_TIME,
+    window_end=_TIME,
+    timestamp_start=_TIME,
+    timestamp_end=_TIME,
+    bytes_inbound=_LONG,
+    bytes_outbound=_LONG,
+    packets_inbound=_LONG,
+    packets_outbound=_LONG,
+    unique_flow_count=_LONG,
+    tcp_syn_total=_LONG,
+    tcp_ack_total=_LONG,
+    tcp_fin_total=_LONG,
+    tcp_rst_total=_LONG,
+    average_packet_size=_DOUBLE,
 )
 
-WARNINGS = T.StructType.fromDDL(
-    "key STRING, window_start TIMESTAMP, metric STRING, current BIGINT, samples INT,"
-    " average DOUBLE, ratio DOUBLE, percent_above BIGINT, severidade STRING, descricao STRING"
+WARNINGS = layout(
+    key=_TEXT,
+    window_start=_TIME,
+    metric=_TEXT,
+    current=_LONG,
+    samples=_INT,
+    average=_DOUBLE,
+    ratio=_DOUBLE,
+    percent_above=_LONG,
+    severidade=_TEXT,
+    descricao=_TEXT,
 )
 
 # What a topic looks like once stored as a table.
-TOPIC_ROWS = T.StructType.fromDDL(
-    "key STRING, value STRING, topic STRING, partition INT, offset BIGINT, timestamp TIMESTAMP"
+TOPIC_ROWS = layout(
+    key=_TEXT, value=_TEXT, topic=_TEXT, partition=_INT, offset=_LONG, timestamp=_TIME
 )
