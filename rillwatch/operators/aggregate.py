@@ -5,6 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.durations import micros
 from ..functions.keys import group_key, joined_identity
 from ..functions.packets import ACK, FIN, RST, SYN, direction, flag_count
 from ..schemas import AGGREGATE_SUMS, AGGREGATES, FIVE_TUPLE, TICK, WINDOW
@@ -92,9 +93,11 @@ def packet_traffic(
 ) -> DataFrame:
     """Traffic aggregates straight from packets, equal to aggregating their microflows.
 
-    For a window that is a whole number of ticks, the microflow step only regroups what the
+    The window must be a whole number of ticks. The microflow step then only regroups what the
     window sums anyway, so leaving it out saves the largest shuffle of the chain.
     """
+    if micros(window) % micros(tick):
+        raise ValueError(f"window {window!r} is not a whole number of ticks of {tick!r}")
     rows = packets if watermark is None else packets.withWatermark("ts", watermark)
     protocol, flags = F.col("protocol"), F.col("tcp_flags")
     flow = rows.groupBy(

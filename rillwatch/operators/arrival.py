@@ -26,11 +26,13 @@ def drop_late(
     the records; its first column must be a sequence number (an offset), which cuts long sources
     into pieces of ``chunk_rows``.
     """
-    keys = [source_partition] if source_partition else []
+    # records without a partition form one of their own
+    source = F.col(source_partition).cast("string") if source_partition else F.lit("all")
+    rows = flows.withColumn("_source", F.coalesce(source, F.lit("none")))
     chunk: Column = F.floor(F.col(arrival[0]) / chunk_rows)
-    seen = running(flows, keys, arrival, chunk, {"_stream_time": ("max", time)})
+    seen = running(rows, ["_source"], arrival, chunk, {"_stream_time": ("max", time)})
     return (
         seen.withColumn("_window", F.window(time, window))
         .where(F.col("_window.end") > F.col("_stream_time"))
-        .drop("_window", "_stream_time")
+        .drop("_window", "_stream_time", "_source")
     )

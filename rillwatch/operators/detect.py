@@ -189,16 +189,21 @@ def rolling_sample(
 
 
 def expanding_stats(
-    aggregates: DataFrame, metric: str = "bytes_inbound", chunk_windows: int = BLOCK_ROWS
+    aggregates: DataFrame,
+    metrics: Sequence[str] = tuple(name for name, *_ in METRICS),
+    chunk_windows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Statistics of a metric over all windows so far and the latest value's ratio to their mean.
+    """Statistics of each metric over all windows so far and the latest value's ratio to the mean.
 
     A zero mean gives NaN for a zero value and infinity otherwise.
     """
-    rows = _keyed(aggregates).select("key", "window_start", "window_end", F.col(metric).alias("latest"))
+    values = [F.struct(F.lit(name).alias("metric"), F.col(name).alias("latest")) for name in metrics]
+    rows = _keyed(aggregates).select(
+        "key", "window_start", "window_end", F.inline(F.array(*values))
+    )
     stats = running(
         rows,
-        ["key"],
+        ["key", "metric"],
         _ORDER,
         window_chunk(chunk_windows),
         {

@@ -4,7 +4,7 @@ A plain ``Window.partitionBy(key)`` sends everything a key has to one task, and
 aggregates have one global key. Here each key's sequence is cut into chunks; what a row needs from
 outside its own piece is brought to it, so results are those of the plain window.
 
-Both functions read ``rows`` twice (once for the chunk summaries, once for the rows): pass a stored
+Keys must not be NULL. Both functions read ``rows`` twice (once for the chunk summaries, once for the rows): pass a stored
 table, a cheap scan or the result of :func:`rillwatch.session.cut_lineage`.
 """
 
@@ -19,23 +19,25 @@ _COMBINE = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
 _MEASURE = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
 
 
+# chunk of rows without a position; sorts first, as NULL does
+_NO_CHUNK = -(2**63)
+
+
+def _in_chunks(rows: DataFrame, chunk: Column) -> DataFrame:
+    return rows.withColumn("_chunk", F.coalesce(chunk.cast("bigint"), F.lit(_NO_CHUNK)))
+
+
 def _join_chunks(rows: DataFrame, chunks: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Equi-join on keys (NULL equals NULL) and chunk. Chunk and rows share one partitioning with
-    the window that follows, so at most one shuffle moves the rows; AQE broadcasts small chunks."""
-    names = [*keys, "_chunk"]
-    right = chunks.select(
-        *[F.col(name).alias(f"_right_{name}") for name in names],
-        *[name for name in chunks.columns if name not in names],
-    )
-    same = [F.col(name).eqNullSafe(F.col(f"_right_{name}")) for name in names]
-    return rows.join(right, same).drop(*[f"_right_{name}" for name in names])
+    """Equi-join on keys and chunk, the partitioning the window that follows needs as well: one
+    shuffle moves the rows, whether AQE broadcasts the chunks or not."""
+    return rows.join(chunks, [*keys, "_chunk"])
 
 
 def _ranked(
     rows: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column
 ) -> DataFrame:
     """Add ``_rank``, the 0-based position of a row in its key's order."""
-    cut = rows.withColumn("_chunk", chunk)
+    cut = _in_chunks(rows, chunk)
     sizes = cut.groupBy(*keys, "_chunk").agg(F.count("*").alias("_size"))
     earlier = (
         Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -97,7 +99,7 @@ def running(
     chunk is summarised, the summaries of earlier chunks are combined (one row per chunk), and
     every row adds what its own chunk held so far.
     """
-    cut = rows.withColumn("_chunk", chunk)
+    cut = _in_chunks(rows, chunk)
     totals = cut.groupBy(*keys, "_chunk").agg(
         *[_MEASURE[kind](column).alias(f"_total_{name}") for name, (kind, column) in measures.items()]
     )

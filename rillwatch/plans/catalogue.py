@@ -53,7 +53,6 @@ from ..operators import (
 )
 from ..schemas import (
     AGGREGATED_TOPIC,
-    METRICS,
     RAW_TOPIC,
     SUMMARY_TOPICS,
     WARNINGS_TOPIC,
@@ -346,12 +345,7 @@ def q_rolling_sample_60(spark, sf_dir):
 
 
 def q_expanding_stats(spark, sf_dir):
-    aggregates = _stored_aggregates(spark, sf_dir)
-    parts = [
-        expanding_stats(aggregates, name, chunk_windows=100).withColumn("metric", F.lit(name))
-        for name, *_ in METRICS
-    ]
-    return ntz(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    return ntz(expanding_stats(_stored_aggregates(spark, sf_dir), chunk_windows=100))
 
 
 # --- routing --------------------------------------------------------------------------------

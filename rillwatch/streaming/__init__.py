@@ -1,6 +1,19 @@
 """Structured Streaming parts."""
 
 from .detector import RollingDetector, stream_rolling_anomalies
+from .jobs import aggregate_job, capture_job, limit_job, split_job, view_job, watch_job
 from .run import drain, read_table_stream, tap
 
-__all__ = ["RollingDetector", "drain", "read_table_stream", "stream_rolling_anomalies", "tap"]
+__all__ = [
+    "RollingDetector",
+    "aggregate_job",
+    "capture_job",
+    "drain",
+    "limit_job",
+    "read_table_stream",
+    "split_job",
+    "stream_rolling_anomalies",
+    "tap",
+    "view_job",
+    "watch_job",
+]

@@ -137,6 +137,11 @@ def test_each_source_partition_has_its_own_stream_time(spark):
     assert kept.count() == 7 + 2 + 2
 
 
+def test_records_without_a_position_come_first(spark):
+    rows = arrivals(spark).unionByName(arrivals(spark, [(None, 5)]))
+    assert drop_late(rows, chunk_rows=2).where("offset IS NULL").count() == 1
+
+
 def test_running_matches_a_plain_window(spark):
     rows = spark.range(500).select(
         (F.col("id") % 3).alias("k"),

@@ -122,7 +122,7 @@ def test_mean_lies_within_its_history(spark):
 
 def test_expanding_stats(spark):
     rows = aggregate_rows(spark, [(0, 0, 0, 0), (1, 4, 0, 0), (2, 8, 0, 0)])
-    got = expanding_stats(rows, "bytes_inbound", chunk_windows=2).orderBy("window_start").collect()
+    got = expanding_stats(rows, ["bytes_inbound"], chunk_windows=2).orderBy("window_start").collect()
     assert [(r.sample_size, r.total, r.minimum, r.maximum, r.average) for r in got] == [
         (1, 0, 0, 0, 0.0),
         (2, 4, 0, 4, 2.0),

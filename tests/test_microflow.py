@@ -1,6 +1,8 @@
 import json
 from datetime import timedelta
 
+import pytest
+
 from builders import START, packet_rows
 from pyspark.sql import functions as F
 
@@ -76,6 +78,13 @@ def test_totals_are_kept(spark, sf_dir):
     assert tuple(total) == (packets.count(), packets.agg(F.sum("payload_size")).first()[0])
 
 
+def test_short_way_needs_whole_ticks(spark):
+    packets = packet_rows(spark, [(1, 0, *FLOW, 1, 0)])
+    for tick, window in (("3 seconds", "10 seconds"), ("1 second", "1 month"), ("x", "10 seconds")):
+        with pytest.raises(ValueError):
+            packet_traffic(packets, NET, MASK, window=window, tick=tick)
+
+
 def test_short_way_equals_the_way_through_microflows(spark, sf_dir):
     packets = derived.packets(derived.events_table(spark, sf_dir))
     args = (derived.LOCAL_NET, derived.LOCAL_MASK)
