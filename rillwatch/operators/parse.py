@@ -178,8 +178,8 @@ def _read_flows(raw: DataFrame, value: str) -> tuple[DataFrame, Column]:
         # text that opens like an object or array may stand for one
         + [text.isNotNull() & ~text.startswith("{") & ~text.startswith("[") for text in texts]
     )
-    other = F.when(~usual, _unusual_flow(json))
-    read = with_once(read, usual.alias("_usual"), other.alias("_other"))
+    other = F.when(~F.col("_usual"), _unusual_flow(json))
+    read = with_once(read.withColumn("_usual", usual), other.alias("_other"))
     known = _found("protocol").isin(*PROTOCOLS) & _found("dir").isin(*DIRECTIONS)
     return read, F.coalesce(known, F.lit(False))
 

@@ -389,8 +389,8 @@ ORACLE: dict[str, str] = {
     "flow_record_json": _with(
         MICROFLOWS,
         """SELECT '{"flow_key":"' || src_ip || ':' || src_port || '-' || dst_ip || ':' || dst_port || '-'
-        || protocol || '","src_ip":"' || src_ip || '","src_port":' || src_port || ',"dst_ip":"' || dst_ip
-        || '","dst_port":' || dst_port || ',"protocol":"' || protocol || '","dir":"' || dir
+        || protocol || '","src_ip":"' || src_ip || '","dst_ip":"' || dst_ip || '","src_port":' || src_port
+        || ',"dst_port":' || dst_port || ',"protocol":"' || protocol || '","dir":"' || dir
         || '","packet_count":' || packets || ',"byte_count":' || bytes || ',"min_packet_size":' || min_size
         || ',"max_packet_size":' || max_size || ',"timestamp":' || """
         + _FLOW_TIME
