@@ -1,6 +1,8 @@
 """Time the headline queries; prints one JSON line.
 
-Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8).
+Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8). Each query runs once
+on the sf0.001 tables beside BENCH_SF_DIR before it is timed, so that the times show the work on the
+data and not the start of the JVM; the output says whether such tables were found.
 """
 
 import json
@@ -33,6 +35,10 @@ HEADLINE = (
 )
 
 
+def run(spark: SparkSession, name: str, sf_dir: str) -> None:
+    QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -47,13 +53,15 @@ def main() -> None:
         builder = builder.config(name, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    # the first query of a session also pays for starting it
-    spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count().collect()
+    warm_dir = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")
+    warmed = os.path.isdir(warm_dir)
 
     timings = {}
     for name in HEADLINE:
+        if warmed:
+            run(spark, name, warm_dir)
         started = time.perf_counter()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        run(spark, name, sf_dir)
         timings[name] = round(time.perf_counter() - started, 3)
         print(name, timings[name], file=sys.stderr)
     scale = re.search(r"sf([0-9.]+)", sf_dir)
@@ -65,6 +73,7 @@ def main() -> None:
                 "unit": "sec",
                 "queries": timings,
                 "sf": float(scale.group(1)) if scale else None,
+                "warmed": warmed,
             }
         )
     )

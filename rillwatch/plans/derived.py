@@ -12,6 +12,7 @@ from ..functions.addresses import ip_to_text
 from ..functions.once import with_once
 from ..functions.packets import direction, protocol_name
 from ..schemas import layout
+from ..session import configure
 
 # fixed values: the local network 10.42.1.0/24 and a remote one
 LOCAL_NET = 170524928
@@ -33,8 +34,7 @@ EVENTS = layout(
 
 def events_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` with its time as TIMESTAMP; the session zone is UTC, so values stay the same."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return with_event_time(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return with_event_time(configure(spark).read.parquet(f"{sf_dir}/events.parquet"))
 
 
 def with_event_time(events: DataFrame) -> DataFrame:
@@ -126,6 +126,10 @@ def frames(events: DataFrame) -> DataFrame:
     return with_once(events, frame).select(seq.alias("pkt_seq"), "ts", kept.alias("caplen"), "frame")
 
 
+def _joined(*parts: str | Column) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+
 def raw_records(events: DataFrame) -> DataFrame:
     """One raw-topic record per event; some break a rule of the parse contract, each in one way."""
     seq = F.col("event_id")
@@ -148,17 +152,15 @@ def raw_records(events: DataFrame) -> DataFrame:
     tcp = F.when(case == 6, "5").otherwise(
         F.concat(
             F.lit("{"),
-            F.when(case == 7, "").otherwise(
-                F.concat(F.lit('"syn":'), flag[2].cast("string"), F.lit(","))
-            ),
-            F.format_string('"ack":%d,"fin":%d,"rst":%d}', flag[16], flag[1], flag[4]),
+            F.when(case == 7, "").otherwise(_joined('"syn":', flag[2], ",")),
+            _joined('"ack":', flag[16], ',"fin":', flag[1], ',"rst":', flag[4], "}"),
         )
     )
     text = F.concat(
         F.when(case == 10, '{"extra":[1,2],').otherwise("{"),
         F.lit('"src_ip":'),
         F.when(case == 17, "null").otherwise(F.concat(F.lit('"'), ip_to_text(_source()), F.lit('"'))),
-        F.format_string(',"src_port":%d,"dst_ip":"', F.lit(40000) + F.col("user_id") % 16),
+        _joined(',"src_port":', F.lit(40000) + F.col("user_id") % 16, ',"dst_ip":"'),
         ip_to_text(_target()),
         F.lit('","dst_port":443,"protocol":"'),
         protocol,
@@ -166,9 +168,9 @@ def raw_records(events: DataFrame) -> DataFrame:
         F.when(case == 9, F.lower(way)).otherwise(way),
         F.lit('","packets":'),
         packets_text,
-        F.format_string(',"bytes":%d,"min_size":%d,', _payload(), seq % 9),
-        F.when(case == 5, "").otherwise(F.format_string('"max_size":%d,', seq % 9 + 100)),
-        F.format_string('"mean_iat_us":%d.%d,"tcp":', seq % 1000, seq % 10),
+        _joined(',"bytes":', _payload(), ',"min_size":', seq % 9, ","),
+        F.when(case == 5, "").otherwise(_joined('"max_size":', seq % 9 + 100, ",")),
+        _joined('"mean_iat_us":', seq % 1000, ".", seq % 10, ',"tcp":'),
         tcp,
         F.lit("}"),
     )
@@ -215,7 +217,7 @@ def warning_topic(events: DataFrame) -> DataFrame:
     text = F.concat(
         F.lit('{"severidade":'),
         name,
-        F.format_string(',"descricao":"evento %d"', seq),
+        _joined(',"descricao":"evento ', seq, '"'),
         F.when(case == 7, ',"extra":1}').when(case == 8, "").otherwise("}"),
     )
     value = F.when(case == 9, "null").when(case == 10, '["alta"]').otherwise(text)

@@ -10,6 +10,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # the JVM never compiles a larger method: run such a stage operator by operator instead
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # a JSON record that repeats a key keeps the last value instead of being rejected
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.streaming.stateStore.providerClass": (
