@@ -2,6 +2,8 @@
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,3 +57,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
+
+
+@contextmanager
+def stream_start(spark: SparkSession) -> Iterator[None]:
+    """Settings for starting a stream, which keeps them for good.
+
+    A stateful stream opens one state store per shuffle partition in every micro-batch, and nothing
+    merges small ones. A local session needs no more of them than it has threads; on a cluster the
+    configured number holds.
+    """
+    name = "spark.sql.shuffle.partitions"
+    configured = spark.conf.get(name)
+    threads = spark.sparkContext.defaultParallelism
+    if spark.sparkContext.master.startswith("local") and int(configured) > threads:
+        spark.conf.set(name, str(threads))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, configured)

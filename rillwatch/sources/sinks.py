@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.parse import parse_warnings
 from ..operators.route import alert_messages
 from ..schemas import TOPIC_ROWS
-from ..session import new_folder
+from ..session import new_folder, stream_start
 
 
 def _topic_rows(records: DataFrame, topic: str | None) -> DataFrame:
@@ -75,9 +75,8 @@ def stream_topic(
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
     if name:
         writer = writer.queryName(name)
-    if fmt == "kafka":
-        return writer.start()
-    return writer.partitionBy("topic").start(path)
+    with stream_start(spark):
+        return writer.start() if fmt == "kafka" else writer.partitionBy("topic").start(path)
 
 
 def deliver_alerts(

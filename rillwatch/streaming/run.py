@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import new_folder
+from ..session import new_folder, stream_start
 
 
 def tap(df: DataFrame, name: str, **extra) -> DataFrame:
@@ -28,12 +28,13 @@ def drain(stream: DataFrame, path: str | None = None, checkpoint: str | None = N
     spark = stream.sparkSession
     schema = stream.schema
     path = path or new_folder(spark, "table")
-    query = (
+    writer = (
         stream.writeStream.format("parquet")
         .outputMode("append")
         .option("checkpointLocation", checkpoint or new_folder(spark, "stream"))
         .trigger(availableNow=True)
-        .start(path)
     )
+    with stream_start(spark):
+        query = writer.start(path)
     query.awaitTermination()
     return spark.read.schema(schema).parquet(path)
