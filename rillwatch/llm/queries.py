@@ -1,5 +1,6 @@
 """Registered queries of this subpackage and their SQL."""
 
+from .decontaminate import op8_decontamination
 from .line_dedup import op1_line_dedup
 from .pieces import op9_sentencepiece
 from .token_files import op6_token_files
@@ -9,6 +10,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_token_counts": op3_token_counts,
     "op6_token_files": op6_token_files,
+    "op8_decontamination": op8_decontamination,
     "op9_sentencepiece": op9_sentencepiece,
 }
 
@@ -27,5 +29,32 @@ WITH parts AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
 FROM flagged GROUP BY doc_id
+""",
+    "op8_decontamination": r"""
+WITH doc_words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), item_words AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, least(len(words), 13) AS size,
+    array_to_string(words[i:i + 12], ' ') AS win
+  FROM item_words, unnest(range(1, greatest(len(words) - 12, 1) + 1)) AS r(i) WHERE len(words) > 0
+), sizes AS (SELECT DISTINCT size FROM windows),
+spots AS (
+  SELECT doc_id, size, i AS pos, array_to_string(words[i:i + size - 1], ' ') AS win
+  FROM doc_words, sizes, unnest(range(1, len(words) - size + 2)) AS r(i)
+), hits AS (SELECT doc_id, pos, spots.size, item_id FROM spots JOIN windows USING (size, win)),
+covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM hits, unnest(range(pos, pos + size)) AS r(p) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id
+)
+SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM doc_words LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """,
 }
