@@ -1,17 +1,21 @@
 """Registered queries of this subpackage and their SQL."""
 
 from .decontaminate import op8_decontamination
+from .language import op5_language_id
 from .line_dedup import op1_line_dedup
 from .pieces import op9_sentencepiece
+from .quality import op10_quality
 from .token_files import op6_token_files
 from .wordpieces import op3_token_counts
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_token_counts": op3_token_counts,
+    "op5_language_id": op5_language_id,
     "op6_token_files": op6_token_files,
     "op8_decontamination": op8_decontamination,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_quality": op10_quality,
 }
 
 ORACLE = {
