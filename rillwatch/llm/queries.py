@@ -5,6 +5,7 @@ from .language import op5_language_id
 from .line_dedup import op1_line_dedup
 from .pieces import op9_sentencepiece
 from .quality import op10_quality
+from .shingle_join import op7_jaccard_join
 from .token_files import op6_token_files
 from .wordpieces import op3_token_counts
 
@@ -13,6 +14,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op5_language_id": op5_language_id,
     "op6_token_files": op6_token_files,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_decontamination": op8_decontamination,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_quality": op10_quality,
