@@ -225,7 +225,8 @@ def decode_pieces(rows: DataFrame, model_path: str, ids: str = "ids", text: str
     return rows.withColumn(text, decoded(F.col(ids)))
 
 
-def _model_path(model_path: str | None) -> str:
+def model_file(model_path: str | None = None) -> str:
+    """The given model file or the public one with byte pieces."""
     if model_path is None:
         import public_tokenizers
 
@@ -248,4 +249,4 @@ def piece_round_trip(docs: DataFrame, model_path: str) -> DataFrame:
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
-    return piece_round_trip(table(spark, sf_dir, "documents"), _model_path(model_path))
+    return piece_round_trip(table(spark, sf_dir, "documents"), model_file(model_path))

@@ -1,23 +1,30 @@
 """Registered queries of this subpackage and their SQL."""
 
+import corpus_pipeline
+
 from .decontaminate import op8_decontamination
 from .language import op5_language_id
 from .line_dedup import op1_line_dedup
+from .neighbours import op2_nearest_neighbours
 from .pieces import op9_sentencepiece
 from .quality import op10_quality
+from .sharding import op4_sharding
 from .shingle_join import op7_jaccard_join
 from .token_files import op6_token_files
 from .wordpieces import op3_token_counts
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_nearest_neighbours": op2_nearest_neighbours,
     "op3_token_counts": op3_token_counts,
+    "op4_sharding": op4_sharding,
     "op5_language_id": op5_language_id,
     "op6_token_files": op6_token_files,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_decontamination": op8_decontamination,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_quality": op10_quality,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE = {

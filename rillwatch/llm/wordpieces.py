@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import byte_texts, steps, table
 from .encoders import WordMemo
-from .pieces import MARK, _model_path, read_model
+from .pieces import MARK, model_file, read_model
 
 INNER = "##"
 _UNKNOWN = 1 << 40  # in a word's count: how many of its tokens are unknown, in the upper bits
@@ -142,5 +142,5 @@ def word_piece_counts(docs: DataFrame, starting: list[bytes], inner: list[bytes]
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
-    starting, inner = word_piece_vocabulary(_model_path(model_path))
+    starting, inner = word_piece_vocabulary(model_file(model_path))
     return word_piece_counts(table(spark, sf_dir, "documents"), starting, inner)
