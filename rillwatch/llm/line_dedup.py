@@ -172,7 +172,6 @@ def line_keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return positions.mapInArrow(_bitmaps, "doc bigint, text_hash bigint, n_dropped bigint, keep binary")
 
 
-@F.arrow_udf("struct<text: string, n_lines: bigint, n_dropped: bigint>")
 def _keep_lines(text: pa.Array, keep: pa.Array) -> pa.Array:
     texts, counts, dropped = [], [], []
     for raw, bitmap in zip(byte_texts(text), keep.to_pylist()):
@@ -203,7 +202,8 @@ def apply_keep_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
         text_key().alias("text_hash"),
     )
     joined = rows.join(bitmaps.select("doc", "text_hash", "keep"), ["doc", "text_hash"], "left")
-    return joined.select("row", _keep_lines(F.col("row.text"), F.col("keep")).alias("kept"))
+    keep_lines = F.arrow_udf(_keep_lines, "struct<text: string, n_lines: bigint, n_dropped: bigint>")
+    return joined.select("row", keep_lines(F.col("row.text"), F.col("keep")).alias("kept"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
