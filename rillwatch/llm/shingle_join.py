@@ -32,6 +32,7 @@ from .components import connected_components
 BUCKET_BITS = 20
 BITMAP_BYTES = 128
 TILE = 512
+BROADCAST_IDS = 200_000  # more ids of documents than this are joined by a shuffle
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -116,7 +117,8 @@ def _crowded_buckets(size: int):
         for _, sets in _sets(size, batches):
             found = np.concatenate(sets) >> np.uint64(64 - BUCKET_BITS)
             counts += np.bincount(found.astype(np.int64), minlength=len(counts))
-        crowded = np.flatnonzero(counts >= 1.5 * counts.mean() + 16)
+        usual = counts.mean()
+        crowded = np.flatnonzero(counts >= usual + 4 * np.sqrt(usual) + 2)
         yield pa.RecordBatch.from_arrays(
             [pa.array(crowded, pa.int32()), pa.array(counts[crowded])], ["bucket", "n"]
         )
@@ -319,8 +321,18 @@ def _tile_pairs(num: int, den: int):
     return run
 
 
-def _links(pairs: DataFrame, arrays: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs whose sets are similar enough."""
+def _links(pairs: DataFrame, rows: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Pairs whose sets are similar enough; the sets of these documents are read from their texts.
+
+    The ids of the documents are broadcast if they are few (they are counted first): then texts stay
+    where they are.
+    """
+    pairs = stored(pairs, "candidate-pairs")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    if nodes.count() <= BROADCAST_IDS:
+        nodes = F.broadcast(nodes)
+    wanted = rows.join(nodes, "doc", "left_semi").select("doc", "text")
+    arrays = stored(wanted.mapInArrow(_arrays(size), "node bigint, hashes array<bigint>"), "shingle-arrays")
     left = arrays.select(F.col("node").alias("a"), F.col("hashes").alias("left"))
     right = arrays.select(F.col("node").alias("b"), F.col("hashes").alias("right"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
@@ -383,19 +395,13 @@ def similar_groups(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10,
         "shared-postings",
     )
     near = shared.where("near").select("node").distinct()
-    arrays = stored(
-        rows.join(near.withColumnRenamed("node", "doc"), "doc", "left_semi")
-        .select("doc", "text")
-        .mapInArrow(_arrays(size), "node bigint, hashes array<bigint>"),
-        "shingle-arrays",
-    )
     bitmaps = filled.select(F.col("doc").alias("node"), "n", "bitmap").join(near, "node", "left_semi")
     chain = (
         shared.where(F.col("before").isNotNull())
         .select(F.least("before", "node").alias("a"), F.greatest("before", "node").alias("b"))
         .distinct()
     )
-    groups = connected_components(_links(_bitmap_filter(chain, bitmaps, num, den), arrays, num, den))
+    groups = connected_components(_links(_bitmap_filter(chain, bitmaps, num, den), rows, size, num, den))
     groups = stored(groups, "groups")
     listed = stored(
         shared.where("near")
@@ -430,7 +436,7 @@ def similar_groups(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10,
         .sortWithinPartitions("token", "i", "j", "n", "node")
     )
     pairs = tiles.mapInArrow(_tile_pairs(num, den), "a bigint, b bigint").distinct()
-    later = stored(_links(pairs, arrays, num, den), "late-links")
+    later = stored(_links(pairs, rows, size, num, den), "late-links")
     bridges = (
         later.join(groups.select(F.col("node").alias("a"), F.col("component").alias("x")), "a", "left")
         .join(groups.select(F.col("node").alias("b"), F.col("component").alias("y")), "b", "left")
