@@ -59,7 +59,8 @@ def balanced_shards(
     ``memberships`` has the columns node and group. Row counts of the shards are at most one apart.
     """
     shared = memberships.groupBy("group").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("group")
-    links = stored(memberships.join(shared, "group").select("node", "group").distinct(), "shard-links")
+    # distinct comes first: behind the join it would keep a large group's rows in one task
+    links = stored(memberships.select("node", "group").distinct().join(shared, "group"), "shard-links")
     linked = stored(links.select("node").distinct(), "linked-nodes")
     total = nodes.count()
     quotas = _quotas(total, shards)

@@ -30,7 +30,7 @@ from .common import WHITE, doc_key, raw_texts, steps, stored, table
 from .components import connected_components
 
 BUCKET_BITS = 20
-BITMAP_BYTES = 128
+LEAST_BITS, MOST_BITS = 512, 65536
 TILE = 512
 BROADCAST_IDS = 200_000  # more ids of documents than this are joined by a shuffle
 _ODD = 0x9E3779B97F4A7C15
@@ -127,11 +127,47 @@ def _crowded_buckets(size: int):
 
 
 def _bitmap(hashes: np.ndarray) -> bytes:
-    bits = np.zeros(BITMAP_BYTES * 8, np.uint8)
-    bits[(hashes % np.uint64(len(bits))).astype(np.int64)] = 1
+    """Bits of the hashes, at least two bits a shingle up to MOST_BITS: a power of two of them."""
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (2 * len(hashes) - 1).bit_length())) if len(hashes) else LEAST_BITS
+    bits = np.zeros(size, np.uint8)
+    bits[(hashes % np.uint64(size)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()
 
 
+class Bitmaps:
+    """Bitmaps of several lengths, those of one length as the rows of a matrix."""
+
+    def __init__(self, raw: list[bytes]):
+        self.sizes = np.array([len(r) for r in raw], np.int64)
+        self.place = np.zeros(len(raw), np.int64)
+        self.rows = {}
+        for size in np.unique(self.sizes):
+            at = np.flatnonzero(self.sizes == size)
+            self.place[at] = np.arange(len(at))
+            self.rows[size] = np.frombuffer(b"".join([raw[i] for i in at]), np.uint64).reshape(len(at), -1)
+
+    def _taken(self, size: int, at: np.ndarray, to: int) -> np.ndarray:
+        """Rows, folded to the length ``to``: a shorter bitmap is a longer one's parts together."""
+        rows = self.rows[size][self.place[at]]
+        return rows if size == to else np.bitwise_or.reduce(rows.reshape(len(at), size // to, -1), axis=1)
+
+    def bound(self, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The most shingles that the sets ``a`` and ``b`` (of ``n`` shingles each) can share."""
+        out = np.empty(len(a), np.int64)
+        combined = self.sizes[a] << 32 | self.sizes[b]
+        for both in np.unique(combined):
+            chosen = np.flatnonzero(combined == both)
+            left, right = int(both) >> 32, int(both) & 0xFFFFFFFF
+            for start in range(0, len(chosen), 2048):
+                some = chosen[start : start + 2048]
+                x = self._taken(left, a[some], min(left, right))
+                y = self._taken(right, b[some], min(left, right))
+                only_x = np.bitwise_count(x & ~y).sum(1, dtype=np.int64)
+                only_y = np.bitwise_count(y & ~x).sum(1, dtype=np.int64)
+                out[some] = np.minimum(n[a[some]] - only_x, n[b[some]] - only_y)
+        return out
+
+
 def least_overlap(size: int, num: int, den: int) -> int:
     """Shingles that a set of this size shares with any set that is similar enough."""
     return -(-size * num // den)
@@ -257,13 +293,6 @@ def _arrays(size: int):
     return run
 
 
-def bitmap_bound(n_a, bits_a, n_b, bits_b):
-    """The most shingles that two sets can share, from their sizes and bitmaps (rows of words)."""
-    only_a = np.bitwise_count(bits_a & ~bits_b).sum(1, dtype=np.int64)
-    only_b = np.bitwise_count(bits_b & ~bits_a).sum(1, dtype=np.int64)
-    return np.minimum(n_a - only_a, n_b - only_b)
-
-
 def _tile_pairs(num: int, den: int):
     """Rows sorted by tile and size to pairs of different groups that may be similar enough."""
 
@@ -275,6 +304,7 @@ def _tile_pairs(num: int, den: int):
         tile[1:] = (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
         number = np.cumsum(tile)
         row, k = np.arange(len(token)), 0
+        maps = Bitmaps(bits.tolist())
         while len(row):
             k += 1
             row = row[row + k < len(token)]
@@ -285,8 +315,7 @@ def _tile_pairs(num: int, den: int):
             test = (group[row] != group[other]) & ((i[row] == j[row]) | (side[row] != side[other]))
             a, b = row[test], other[test]
             if len(a):
-                bound = bitmap_bound(n[a], bits[a], n[b], bits[b])
-                good = bound * (num + den) >= num * (n[a] + n[b])
+                good = maps.bound(n, a, b) * (num + den) >= num * (n[a] + n[b])
                 found_a.append(node[a[good]])
                 found_b.append(node[b[good]])
         if not found_a:
@@ -303,8 +332,7 @@ def _tile_pairs(num: int, den: int):
             if not batch.num_rows:
                 continue
             columns = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names]
-            joined = b"".join(batch.column("bitmap").to_pylist())
-            columns.append(np.frombuffer(joined, np.uint64).reshape(batch.num_rows, -1))
+            columns.append(np.array([*batch.column("bitmap").to_pylist(), None], object)[:-1])
             if held is not None:
                 columns = [np.concatenate(c) for c in zip(held, columns)]
             token, i, j = columns[:3]
@@ -321,17 +349,16 @@ def _tile_pairs(num: int, den: int):
     return run
 
 
-def _links(pairs: DataFrame, rows: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Pairs whose sets are similar enough; the sets of these documents are read from their texts.
+def _few_broadcast(ids: DataFrame) -> DataFrame:
+    """A stored table of ids, marked for broadcast if it has at most BROADCAST_IDS rows."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
-    The ids of the documents are broadcast if they are few (they are counted first): then texts stay
-    where they are.
-    """
+
+def _links(pairs: DataFrame, rows: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Pairs whose sets are similar enough; the sets of these documents are read from their texts."""
     pairs = stored(pairs, "candidate-pairs")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    if nodes.count() <= BROADCAST_IDS:
-        nodes = F.broadcast(nodes)
-    wanted = rows.join(nodes, "doc", "left_semi").select("doc", "text")
+    nodes = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "candidates")
+    wanted = rows.join(_few_broadcast(nodes), "doc", "left_semi").select("doc", "text")
     arrays = stored(wanted.mapInArrow(_arrays(size), "node bigint, hashes array<bigint>"), "shingle-arrays")
     left = arrays.select(F.col("node").alias("a"), F.col("hashes").alias("left"))
     right = arrays.select(F.col("node").alias("b"), F.col("hashes").alias("right"))
@@ -340,19 +367,18 @@ def _links(pairs: DataFrame, rows: DataFrame, size: int, num: int, den: int) ->
 
 
 def _bitmap_filter(pairs: DataFrame, bitmaps: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs whose bitmaps leave room for enough common shingles, with built-in bit counts."""
+    """Pairs whose bitmaps leave room for enough common shingles."""
     left = bitmaps.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bitmap").alias("bits_a"))
     right = bitmaps.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bitmap").alias("bits_b"))
     joined = pairs.join(left, "a").join(right, "b")
 
     @F.arrow_udf("boolean")
     def possible(n_a: pa.Array, bits_a: pa.Array, n_b: pa.Array, bits_b: pa.Array) -> pa.Array:
-        a, b = n_a.to_numpy().astype(np.int64), n_b.to_numpy().astype(np.int64)
-        words = [
-            np.frombuffer(b"".join(bits.to_pylist()), np.uint64).reshape(len(a), BITMAP_BYTES // 8)
-            for bits in (bits_a, bits_b)
-        ]
-        return pa.array(bitmap_bound(a, words[0], b, words[1]) * (num + den) >= num * (a + b))
+        n = np.concatenate([n_a.to_numpy(), n_b.to_numpy()]).astype(np.int64)
+        maps = Bitmaps(bits_a.to_pylist() + bits_b.to_pylist())
+        at = np.arange(len(n_a))
+        bound = maps.bound(n, at, at + len(at))
+        return pa.array(bound * (num + den) >= num * (n[at] + n[at + len(at)]))
 
     return joined.where(possible("n_a", "bits_a", "n_b", "bits_b")).select("a", "b")
 
@@ -383,8 +409,10 @@ def similar_groups(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10,
     )
     filled = sets.where(F.col("n") > 0)
     classes = stored(filled.groupBy("d1", "d2").agg(F.min("doc").alias("node")), "shingle-classes")
-    # one row of each class; the third key spreads the rows of a large class
-    firsts = filled.join(classes.withColumnRenamed("node", "doc"), ["d1", "d2", "doc"])
+    # one document of each class goes on; the others are few in most corpora, and are counted first
+    narrow = filled.select("d1", "d2", "doc")
+    others = narrow.join(classes, ["d1", "d2"]).where("doc <> node").select("d1", "d2", "doc").distinct()
+    firsts = filled.join(_few_broadcast(stored(others, "copies")), ["d1", "d2", "doc"], "left_anti")
     postings = firsts.select(F.explode("prefix").alias("token"), "n", F.col("doc").alias("node"))
     ranged = postings.repartitionByRange("token", "n", "node").sortWithinPartitions("token", "n", "node")
     shared = stored(

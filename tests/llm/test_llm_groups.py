@@ -120,10 +120,10 @@ def test_lists_of_many_tiles(spark):
 def test_bitmaps_never_bound_too_low():
     rnd = np.random.default_rng(4)
     for _ in range(200):
-        a = np.unique(rnd.integers(0, 400, rnd.integers(1, 300)).astype(np.uint64))
-        b = np.unique(rnd.integers(0, 400, rnd.integers(1, 300)).astype(np.uint64))
-        bits = [np.frombuffer(shingle_join._bitmap(shingle_join._mixed(x)), np.uint64)[None] for x in (a, b)]
-        bound = shingle_join.bitmap_bound(np.array([len(a)]), bits[0], np.array([len(b)]), bits[1])
+        a = np.unique(rnd.integers(0, 1000, rnd.integers(1, 900)).astype(np.uint64))
+        b = np.unique(rnd.integers(0, 1000, rnd.integers(1, 900)).astype(np.uint64))
+        maps = shingle_join.Bitmaps([shingle_join._bitmap(shingle_join._mixed(x)) for x in (a, b)])
+        bound = maps.bound(np.array([len(a), len(b)]), np.array([0]), np.array([1]))
         assert bound[0] >= len(np.intersect1d(a, b))
 
 
