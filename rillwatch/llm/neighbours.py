@@ -30,6 +30,7 @@ PARTITIONS = 32
 GRAPH_NEIGHBOURS = 20
 COVER = 0.97
 BLOCK = 2048
+HELD_ROWS = 1_000_000  # results that a task gathers before it passes them on
 HIDDEN = 128
 EPOCHS = 12
 
@@ -198,8 +199,28 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield block()
 
 
+def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, count: int):
+    """The ``count`` rows with the largest scores of each query, ties to smaller ids."""
+    order = np.lexsort((ids, -score, query))
+    query, ids, score = query[order], ids[order], score[order]
+    on = np.arange(len(query)) - np.searchsorted(query, query) < count
+    return query[on], ids[on], score[on]
+
+
 def _search(count: int):
+    """Pairs of a block of queries and a block of vectors to the nearest of each query in this task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def reduced():
+            return _best(*(np.concatenate(c) for c in zip(*held)), count)
+
+        def made(query, ids, score):
+            return pa.RecordBatch.from_arrays(
+                [pa.array(query), pa.array(ids), pa.array(score)], ["query_id", "vec_id", "score"]
+            )
+
         for batch in batches:
             for row in range(batch.num_rows):
                 asked, ids = (np.frombuffer(batch.column(n)[row].as_py(), np.int64) for n in ("asked", "ids"))
@@ -213,15 +234,14 @@ def _search(count: int):
                 # all candidates as near as the last one kept, so that ties can go to smaller ids
                 least = np.partition(near, len(ids) - keep, axis=1)[:, len(ids) - keep]
                 query, at = np.nonzero((near >= least[:, None]) & np.isfinite(near))
-                score = near[query, at]
-                order = np.lexsort((ids[at], -score, query))
-                query, at, score = query[order], at[order], score[order]
-                first = np.searchsorted(query, query)
-                on = np.arange(len(query)) - first < count
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(asked[query[on]]), pa.array(ids[at[on]]), pa.array(score[on])],
-                    ["query_id", "vec_id", "score"],
-                )
+                held.append(_best(asked[query], ids[at], near[query, at], count))
+                if sum(len(h[0]) for h in held) > HELD_ROWS:
+                    held = [reduced()]
+                    if len(held[0][0]) > HELD_ROWS // 2:
+                        yield made(*held[0])
+                        held = []
+        if held:
+            yield made(*reduced())
 
     return run
 
