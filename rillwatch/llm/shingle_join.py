@@ -9,7 +9,8 @@
 4. Lists that still hold different groups are cut into tiles of bounded size, sorted by size: pairs of
    different groups inside the size band are tested by their hashed bitmaps (every bit set in one and
    not in the other is a shingle the other lacks, which bounds the overlap from above) and, if they
-   pass, by intersecting the sorted arrays. Nothing is capped: a long list has more tiles.
+   pass, by intersecting the sorted arrays. Nothing is capped: a long list has more tiles. Short lists
+   are one tile, and their pairs are tested once each, not in every list that has them.
 
 Words are runs of characters other than white space, A-Z lower-cased. A text with fewer words than a
 shingle has its whole sequence as its one shingle.
@@ -32,6 +33,8 @@ from .components import connected_components
 BUCKET_BITS = 20
 LEAST_BITS, MOST_BITS = 512, 65536
 TILE = 512
+SHORT = 16  # pairs of lists up to this length are tested once a pair and not in every list
+FIRSTS = 4
 BROADCAST_IDS = 200_000  # more ids of documents than this are joined by a shuffle
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -127,8 +130,8 @@ def _crowded_buckets(size: int):
 
 
 def _bitmap(hashes: np.ndarray) -> bytes:
-    """Bits of the hashes, at least two bits a shingle up to MOST_BITS: a power of two of them."""
-    size = min(MOST_BITS, max(LEAST_BITS, 1 << (2 * len(hashes) - 1).bit_length())) if len(hashes) else LEAST_BITS
+    """Bits of the hashes, at least four bits a shingle up to MOST_BITS: a power of two of them."""
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (4 * len(hashes) - 1).bit_length())) if len(hashes) else LEAST_BITS
     bits = np.zeros(size, np.uint8)
     bits[(hashes % np.uint64(size)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()
@@ -293,10 +296,21 @@ def _arrays(size: int):
     return run
 
 
-def _tile_pairs(num: int, den: int):
-    """Rows sorted by tile and size to pairs of different groups that may be similar enough."""
+def _tile_pairs(num: int, den: int, bitmaps: bool):
+    """Rows sorted by tile and size to pairs of different groups that may be similar enough.
 
-    def pairs(token, i, j, n, node, group, side, bits):
+    A pair that shares several shingles is made in one list if these are among its first ones.
+    """
+    rest = [] if bitmaps else [None]
+
+    def elsewhere(token, firsts, a, b):
+        """Whether two rows have another shingle in common among their first ones: that list has the pair."""
+        same = firsts[a][:, :, None] == firsts[b][:, None, :]
+        at = same.any(2)
+        first = firsts[a, at.argmax(1)]
+        return at.any(1) & (first != token[a])
+
+    def pairs(token, i, j, n, node, group, side, firsts, bits):
         # rows of a tile lie together; row r is compared with row r + k for k = 1, 2, ... while the
         # tile and the size band last
         found_a, found_b = [], []
@@ -304,7 +318,7 @@ def _tile_pairs(num: int, den: int):
         tile[1:] = (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
         number = np.cumsum(tile)
         row, k = np.arange(len(token)), 0
-        maps = Bitmaps(bits.tolist())
+        maps = Bitmaps(bits.tolist()) if bits is not None else None
         while len(row):
             k += 1
             row = row[row + k < len(token)]
@@ -314,13 +328,16 @@ def _tile_pairs(num: int, den: int):
             other = row + k
             test = (group[row] != group[other]) & ((i[row] == j[row]) | (side[row] != side[other]))
             a, b = row[test], other[test]
-            if len(a):
+            fresh = ~elsewhere(token, firsts, a, b)
+            a, b = a[fresh], b[fresh]
+            if maps is not None and len(a):
                 good = maps.bound(n, a, b) * (num + den) >= num * (n[a] + n[b])
-                found_a.append(node[a[good]])
-                found_b.append(node[b[good]])
-        if not found_a:
+                a, b = a[good], b[good]
+            found_a.append(node[a])
+            found_b.append(node[b])
+        a, b = np.concatenate([*found_a, node[:0]]), np.concatenate([*found_b, node[:0]])
+        if not len(a):
             return None
-        a, b = np.concatenate(found_a), np.concatenate(found_b)
         some = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(some[0]), pa.array(some[1])], ["a", "b"])
 
@@ -332,17 +349,20 @@ def _tile_pairs(num: int, den: int):
             if not batch.num_rows:
                 continue
             columns = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names]
-            columns.append(np.array([*batch.column("bitmap").to_pylist(), None], object)[:-1])
+            firsts = batch.column("firsts").flatten().to_numpy(zero_copy_only=False)
+            columns.append(firsts.reshape(batch.num_rows, FIRSTS))
+            if bitmaps:
+                columns.append(np.array([*batch.column("bitmap").to_pylist(), None], object)[:-1])
             if held is not None:
                 columns = [np.concatenate(c) for c in zip(held, columns)]
             token, i, j = columns[:3]
             ahead = (token != token[-1]) | (i != i[-1]) | (j != j[-1])
             begin = int(np.flatnonzero(ahead)[-1]) + 1 if ahead.any() else 0
-            made = pairs(*[c[:begin] for c in columns]) if begin else None
+            made = pairs(*[c[:begin] for c in columns], *rest) if begin else None
             if made is not None:
                 yield made
             held = [c[begin:] for c in columns]
-        made = pairs(*held) if held is not None else None
+        made = pairs(*held, *rest) if held is not None else None
         if made is not None:
             yield made
 
@@ -411,7 +431,7 @@ def similar_groups(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10,
     classes = stored(filled.groupBy("d1", "d2").agg(F.min("doc").alias("node")), "shingle-classes")
     # one document of each class goes on; the others are few in most corpora, and are counted first
     narrow = filled.select("d1", "d2", "doc")
-    others = narrow.join(classes, ["d1", "d2"]).where("doc <> node").select("d1", "d2", "doc").distinct()
+    others = narrow.join(classes, ["d1", "d2"]).where("doc <> node").select("d1", "d2", "doc")
     firsts = filled.join(_few_broadcast(stored(others, "copies")), ["d1", "d2", "doc"], "left_anti")
     postings = firsts.select(F.explode("prefix").alias("token"), "n", F.col("doc").alias("node"))
     ranged = postings.repartitionByRange("token", "n", "node").sortWithinPartitions("token", "n", "node")
@@ -424,6 +444,10 @@ def similar_groups(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10,
     )
     near = shared.where("near").select("node").distinct()
     bitmaps = filled.select(F.col("doc").alias("node"), "n", "bitmap").join(near, "node", "left_semi")
+    first = F.transform(
+        F.sequence(F.lit(0), F.lit(FIRSTS - 1)), lambda i: F.coalesce(F.get("prefix", i), F.col("prefix")[0])
+    )
+    firsts_of = filled.select(F.col("doc").alias("node"), first.alias("firsts")).dropDuplicates(["node"])
     chain = (
         shared.where(F.col("before").isNotNull())
         .select(F.least("before", "node").alias("a"), F.greatest("before", "node").alias("b"))
@@ -441,12 +465,24 @@ def similar_groups(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10,
         listed.groupBy("token")
         .agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count(F.lit(1)).alias("length"))
         .where("low < high")
-        .select("token", F.ceil(F.col("length") / tile).cast("int").alias("blocks"))
+        .select("token", F.ceil(F.col("length") / tile).cast("int").alias("blocks"), "length")
+    )
+    order = ["token", "i", "j", "n", "node"]
+    rows_of = listed.join(mixed, "token").join(firsts_of, "node")
+    rows_of = stored(rows_of.select("token", "n", "node", "group", "firsts", "blocks", "length"), "mixed-postings")
+    short = rows_of.where(F.col("length") <= SHORT).select(
+        "token", *[F.lit(0).alias(c) for c in ("i", "j")], "n", "node", "group", F.lit(0).alias("side"), "firsts"
+    )
+    short_pairs = (
+        short.repartition("token")
+        .sortWithinPartitions(*order)
+        .mapInArrow(_tile_pairs(num, den, False), "a bigint, b bigint")
+        .distinct()
     )
-    # every block of a list meets every block once: block b is in the tiles (i, b) and (b, j)
+    # every block of a long list meets every block once: block b is in the tiles (i, b) and (b, j)
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     tiles = (
-        listed.join(mixed, "token")
+        rows_of.where(F.col("length") > SHORT)
         .withColumn("block", block)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
@@ -457,13 +493,15 @@ def similar_groups(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10,
             "node",
             "group",
             F.col("block").alias("side"),
+            "firsts",
         )
         .join(bitmaps.select("node", "bitmap").dropDuplicates(["node"]), "node")
-        .select("token", "i", "j", "n", "node", "group", "side", "bitmap")
+        .select("token", "i", "j", "n", "node", "group", "side", "firsts", "bitmap")
         .repartition("token", "i", "j")
-        .sortWithinPartitions("token", "i", "j", "n", "node")
+        .sortWithinPartitions(*order)
     )
-    pairs = tiles.mapInArrow(_tile_pairs(num, den), "a bigint, b bigint").distinct()
+    long_pairs = tiles.mapInArrow(_tile_pairs(num, den, True), "a bigint, b bigint").distinct()
+    pairs = stored(long_pairs.unionByName(_bitmap_filter(short_pairs, bitmaps, num, den)), "late-pairs").distinct()
     later = stored(_links(pairs, rows, size, num, den), "late-links")
     bridges = (
         later.join(groups.select(F.col("node").alias("a"), F.col("component").alias("x")), "a", "left")
