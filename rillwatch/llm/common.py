@@ -13,7 +13,7 @@ from ..session import new_folder
 # white space of the text contracts: space and \t \n \v \f \r
 WHITE = b" \t\n\x0b\x0c\r"
 # bytes of text that one step of a vectorised function takes at most (a longer text is one step)
-STEP_BYTES = 2_000_000
+STEP_BYTES = 1_000_000
 NO_ID = -(2**63)
 
 
@@ -72,13 +72,13 @@ def numbered(
     )
 
 
-def steps(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about STEP_BYTES of text each, none of them empty."""
+def steps(batches: Iterator[pa.RecordBatch], size: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about ``size`` bytes of text each, none of them empty."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
-        step = (np.cumsum(sizes) - sizes) // STEP_BYTES
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+        step = (np.cumsum(sizes) - sizes) // size
         cuts = np.flatnonzero(np.diff(step)) + 1
         for start, end in zip([0, *cuts], [*cuts, batch.num_rows]):
             yield batch.slice(start, end - start)

@@ -3,7 +3,7 @@
 from collections.abc import Callable, Iterable
 
 # words that a task remembers; beyond them it starts anew, so that its memory stays bounded
-MEMO_WORDS = 500_000
+MEMO_WORDS = 300_000
 
 
 class WordMemo(dict):

@@ -27,6 +27,7 @@ PER_LANGUAGE = 1000  # bound of the sample that the weights are fitted on
 EPOCHS = 3
 BATCH = 32
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-5
+STEP_BYTES = 300_000  # n-grams take some hundred bytes a character while they are counted
 SCALE = 30.0  # term frequencies are shares: this brings inputs to the order of one
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -64,7 +65,7 @@ def _document_frequencies(dimensions: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, docs = np.zeros(dimensions, np.int64), 0
         seen = np.zeros(dimensions, bool)
-        for batch in steps(batches):
+        for batch in steps(batches, STEP_BYTES):
             codes, limits = ngram_codes(_texts(batch), dimensions)
             for start, end in zip(limits[:-1], limits[1:]):
                 some = codes[start:end]
@@ -84,7 +85,7 @@ def _document_frequencies(dimensions: int):
 
 def _sparse_rows(dimensions: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
+        for batch in steps(batches, STEP_BYTES):
             codes, limits = ngram_codes(_texts(batch), dimensions)
             features, shares = [], []
             for start, end in zip(limits[:-1], limits[1:]):
@@ -233,7 +234,7 @@ def predict_language(text: Column, model: dict, spark: SparkSession) -> Column:
     def predicted(column: pa.Array) -> pa.Array:
         known = shared.value
         names, scores = [], []
-        for batch in steps([pa.RecordBatch.from_arrays([column], ["text"])]):
+        for batch in steps([pa.RecordBatch.from_arrays([column], ["text"])], STEP_BYTES):
             texts = _texts(batch)
             lettered = np.array([_LETTER.search(t) is not None for t in texts])
             if not known["languages"] or not lettered.any():
