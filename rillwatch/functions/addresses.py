@@ -8,7 +8,7 @@ DOTTED = r"^(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1
 
 
 def ip_to_text(address: Column) -> Column:
-    """``10.42.1.228`` for 170525156."""
+    """``10.42.1.77`` for 170525005."""
     octets = [F.shiftright(address, shift).bitwiseAND(F.lit(255)).cast("string") for shift in (24, 16, 8)]
     last = address.bitwiseAND(F.lit(255)).cast("string")
     dot = F.lit(".")

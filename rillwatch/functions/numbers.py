@@ -16,3 +16,19 @@ def one_decimal(value: Column) -> Column:
 
 def micros_between(first: Column, last: Column) -> Column:
     return F.unix_micros(last) - F.unix_micros(first)
+
+
+def to_bigint(total: Column) -> Column:
+    """A whole number of any size as BIGINT; beyond its range, its nearest end. NULL stays NULL."""
+    inside = F.least(F.greatest(total, F.lit(-(2**63))), F.lit(2**63 - 1))
+    return F.when(total.isNotNull(), inside.cast("bigint"))
+
+
+def wide(value: Column) -> Column:
+    """A BIGINT whose sums can't overflow."""
+    return value.cast("decimal(28,0)")
+
+
+def total(value: Column) -> Column:
+    """Sum of a BIGINT that never fails: it is exact, and beyond the range the range's end."""
+    return to_bigint(F.sum(wide(value)))

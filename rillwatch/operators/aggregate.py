@@ -5,16 +5,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.addresses import ip_to_text
 from ..functions.durations import micros
 from ..functions.keys import group_key, joined_identity
-from ..functions.packets import ACK, FIN, RST, SYN, direction, flag_count
+from ..functions.numbers import total, wide
+from ..functions.packets import ACK, FIN, RST, SYN, direction, flag_count, protocol_name
 from ..schemas import AGGREGATE_SUMS, AGGREGATES, FIVE_TUPLE, TICK, WINDOW
 
 
 def average_packet_size() -> Column:
-    packets = F.col("packets_inbound") + F.col("packets_outbound")
-    volume = F.col("bytes_inbound") + F.col("bytes_outbound")
-    return F.when(packets == 0, F.lit(0.0)).otherwise(volume.cast("double") / packets)
+    packets = wide(F.col("packets_inbound")) + wide(F.col("packets_outbound"))
+    volume = wide(F.col("bytes_inbound")) + wide(F.col("bytes_outbound"))
+    mean = volume.cast("double") / packets.cast("double")
+    return F.when(packets == 0, F.lit(0.0)).otherwise(mean)
 
 
 def _finish(per_flow: DataFrame) -> DataFrame:
@@ -25,7 +28,7 @@ def _finish(per_flow: DataFrame) -> DataFrame:
     totals = per_flow.groupBy("window", "key").agg(
         F.min("timestamp_start").alias("timestamp_start"),
         F.max("timestamp_end").alias("timestamp_end"),
-        *[F.sum(name).alias(name) for name in AGGREGATE_SUMS],
+        *[total(F.col(name)).alias(name) for name in AGGREGATE_SUMS],
         F.count("*").alias("unique_flow_count"),
     )
     return (
@@ -37,7 +40,7 @@ def _finish(per_flow: DataFrame) -> DataFrame:
 
 
 def _volume(name: str, wanted: str) -> Column:
-    return F.sum(F.when(F.col("dir") == wanted, F.col(name)).otherwise(F.lit(0)))
+    return total(F.when(F.col("dir") == wanted, F.col(name)).otherwise(F.lit(0)))
 
 
 def traffic_aggregate(
@@ -76,7 +79,7 @@ def traffic_aggregate(
         _volume("packet_count", "INBOUND").alias("packets_inbound"),
         _volume("packet_count", "OUTBOUND").alias("packets_outbound"),
         *[
-            F.coalesce(F.sum(f"tcp_{flag}_count"), F.lit(0)).alias(f"tcp_{flag}_total")
+            F.coalesce(total(F.col(f"tcp_{flag}_count")), F.lit(0)).alias(f"tcp_{flag}_total")
             for flag in ("syn", "ack", "fin", "rst")
         ],
     )
@@ -90,38 +93,49 @@ def packet_traffic(
     window: str = WINDOW,
     tick: str = TICK,
     watermark: str | None = None,
+    group_cols: Sequence[str] = (),
 ) -> DataFrame:
     """Traffic aggregates straight from packets, equal to aggregating their microflows.
 
     The window must be a whole number of ticks. The microflow step then only regroups what the
-    window sums anyway, so leaving it out saves the largest shuffle of the chain.
+    window sums anyway, so leaving it out saves the largest shuffle of the chain. ``group_cols`` are
+    parts of a flow or its direction, as microflows have them (addresses and protocols as text).
     """
     if micros(window) % micros(tick):
         raise ValueError(f"window {window!r} is not a whole number of ticks of {tick!r}")
     rows = packets if watermark is None else packets.withWatermark("ts", watermark)
     protocol, flags = F.col("protocol"), F.col("tcp_flags")
     flow = rows.groupBy(
-        F.window("ts", window).alias("window"), group_key().alias("key"), *FIVE_TUPLE
+        F.window("ts", window).alias("window"), *FIVE_TUPLE
     ).agg(
         F.min("ts").alias("first_seen"),
         F.max("ts").alias("last_seen"),
         F.count("*").alias("packets"),
-        F.sum("payload_size").alias("bytes"),
+        total(F.col("payload_size")).alias("bytes"),
         *[
             flag_count(protocol, flags, bit).alias(f"tcp_{flag}_total")
             for flag, bit in (("syn", SYN), ("ack", ACK), ("fin", FIN), ("rst", RST))
         ],
     )
     way = direction(F.col("src_ip"), F.col("dst_ip"), net, mask)
+    # the key is decided per flow: it only needs what all packets of a flow share
+    named = flow.withColumns(
+        {
+            "dir": way,
+            "src_ip": ip_to_text(F.col("src_ip")),
+            "dst_ip": ip_to_text(F.col("dst_ip")),
+            "protocol": protocol_name(protocol),
+        }
+    )
     sides = [
-        F.when(way == wanted, F.col(name)).otherwise(F.lit(0)).alias(f"{name}_{wanted.lower()}")
+        F.when(F.col("dir") == wanted, F.col(name)).otherwise(F.lit(0)).alias(f"{name}_{wanted.lower()}")
         for name in ("bytes", "packets")
         for wanted in ("INBOUND", "OUTBOUND")
     ]
     # microflows carry the start of their tick
-    per_flow = flow.select(
+    per_flow = named.select(
         "window",
-        "key",
+        group_key(group_cols).alias("key"),
         F.window("first_seen", tick)["start"].alias("timestamp_start"),
         "last_seen",
         *sides,

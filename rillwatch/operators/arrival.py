@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import WINDOW
+from ..session import cut_lineage
 from .ordered import running
 
 CHUNK_ROWS = 1_000_000
@@ -24,12 +25,14 @@ def drop_late(
     Stream time is the latest ``time`` seen so far, the record itself included, per source
     partition. A record is late when its window ends at or before stream time. ``arrival`` orders
     the records; its first column must be a sequence number (an offset), which cuts long sources
-    into pieces of ``chunk_rows``.
+    into pieces of ``chunk_rows``. A record without one has no place in the order and is an error.
+    The records are stored first, as they are read twice.
     """
     # records without a partition form one of their own
     source = F.col(source_partition).cast("string") if source_partition else F.lit("all")
-    rows = flows.withColumn("_source", F.coalesce(source, F.lit("none")))
-    chunk: Column = F.floor(F.col(arrival[0]) / chunk_rows)
+    rows = cut_lineage(flows).withColumn("_source", F.coalesce(source, F.lit("none")))
+    missing = F.raise_error(F.lit(f"a record has no {arrival[0]}: pass columns that order the records"))
+    chunk: Column = F.floor(F.coalesce(F.col(arrival[0]), missing.cast("bigint")) / chunk_rows)
     seen = running(rows, ["_source"], arrival, chunk, {"_stream_time": ("max", time)})
     return (
         seen.withColumn("_window", F.window(time, window))

@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import round_half_up
+from ..functions.numbers import round_half_up, to_bigint, wide
 from ..schemas import (
     HISTORY,
     LIMITS,
@@ -75,7 +75,7 @@ def warning_text(current: Column, label: Column, percent: Column, average: Colum
 def rolling_means(aggregates: DataFrame, history: int = HISTORY, chunk_windows: int = BLOCK_ROWS) -> DataFrame:
     """Per metric row: number and mean of the up to ``history`` previous windows of its key."""
     measures = {"samples": F.count("*")}
-    measures.update({f"{name}_sum": F.sum(name) for name, *_ in METRICS})
+    measures.update({f"{name}_sum": F.sum(wide(F.col(name))) for name, *_ in METRICS})
     framed = rolling(
         _keyed(aggregates),
         ["key"],
@@ -174,7 +174,7 @@ def rolling_sample(
     """Sum and record of each metric over the last ``size`` aggregates, the current one included."""
     measures = {"samples": F.count("*")}
     for name, *_ in METRICS:
-        measures[f"{name}_sum"] = F.sum(name)
+        measures[f"{name}_sum"] = F.sum(wide(F.col(name)))
         measures[f"{name}_record"] = F.max(name)
     return rolling(
         _keyed(aggregates),
@@ -185,7 +185,7 @@ def rolling_sample(
         0,
         measures,
         block_rows=max(chunk_windows, size),
-    ).drop("window_end")
+    ).withColumns({f"{name}_sum": to_bigint(F.col(f"{name}_sum")) for name, *_ in METRICS}).drop("window_end")
 
 
 def expanding_stats(

@@ -13,10 +13,18 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import to_bigint, wide
+
 BLOCK_ROWS = 4096
 
+
+def _wide_sum(column: str) -> Column:
+    return F.sum(wide(F.col(column)))
+
+
+# sums are of BIGINT columns and stay wide until they are put together
 _COMBINE = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
-_MEASURE = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
+_MEASURE = {"sum": _wide_sum, "count": F.count, "min": F.min, "max": F.max}
 
 
 # chunk of rows without a position; sorts first, as NULL does
@@ -139,4 +147,6 @@ def _combined(name: str, kind: str) -> Column:
         value = F.greatest(carried, own)
     else:
         value = F.coalesce(carried + own, own, carried)
+        if kind == "sum":
+            value = to_bigint(value)
     return value.alias(name)

@@ -149,7 +149,10 @@ def _unusual_flow(json: Column) -> Column:
             kind = F.schema_of_variant(_field(F.try_parse_json(json), name))
             return F.when(opens & kind.rlike("^(OBJECT|ARRAY)"), F.lit("")).otherwise(text)
 
-        return F.struct(
+        # a field that is not NULL proves its key; only a record with a NULL has its keys listed
+        paths = [*MICROFLOW_TEXTS, "mean_iat_us", *FLOW_COUNTS]
+        filled = reduce(and_, [at(read, path).isNotNull() for path in paths])
+        flow = F.struct(
             address("src_ip").alias("src_ip"),
             address("dst_ip").alias("dst_ip"),
             at(read, "protocol").alias("protocol"),
@@ -157,9 +160,10 @@ def _unusual_flow(json: Column) -> Column:
             number("mean_iat_us", _number, "double").alias("mean_iat_us"),
             *[number(path, _whole, "bigint").alias(column) for path, column in FLOW_COUNTS.items()],
         )
+        return F.when(filled | _present(json), flow)
 
     text = F.from_json(json, _microflow_type("STRING", "STRING"), _STRICT_JSON)
-    return F.when(_present(json), F.get(F.transform(F.array(text), fields), F.lit(0)))
+    return F.get(F.transform(F.array(text), fields), F.lit(0))
 
 
 def _read_flows(raw: DataFrame, value: str) -> tuple[DataFrame, Column]:

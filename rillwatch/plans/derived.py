@@ -14,7 +14,7 @@ from ..functions.packets import direction, protocol_name
 from ..schemas import layout
 from ..session import configure
 
-# fixed values: the local network 10.42.1.0/24 and a remote one
+# the local network 10.42.1.0/24 and a remote one
 LOCAL_NET = 170524928
 LOCAL_MASK = 4294967040
 REMOTE_NET = 3639549952

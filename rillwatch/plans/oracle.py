@@ -10,6 +10,8 @@ _SUMS = (
     "tcp_fin_total",
     "tcp_rst_total",
 )
+# sums end here
+_MOST = 9223372036854775807
 _AGGREGATE_COLUMNS = (
     "key, window_start, window_end, timestamp_start, timestamp_end, bytes_inbound, bytes_outbound,"
     " packets_inbound, packets_outbound, unique_flow_count, tcp_syn_total, tcp_ack_total,"
@@ -78,7 +80,8 @@ FROM grouped)"""
 def _aggregate(source: str, key: str, flow: str = "(src_ip, src_port, dst_ip, dst_port, protocol)") -> str:
     """Aggregates of ``source`` in one step, with a plain distinct count."""
     volume = ", ".join(
-        f"CAST(sum(CASE WHEN dir='{way}' THEN {column} ELSE 0 END) AS BIGINT) AS {name}_{way.lower()}"
+        f"CAST(least(sum(CASE WHEN dir='{way}' THEN {column} ELSE 0 END), {_MOST}) AS BIGINT)"
+        f" AS {name}_{way.lower()}"
         for name, column in (("bytes", "bytes"), ("packets", "packets"))
         for way in ("INBOUND", "OUTBOUND")
     )
@@ -92,7 +95,7 @@ totals AS (SELECT {key} AS key, time_bucket(INTERVAL '1 hour', tick_start) AS wi
 FROM {source} GROUP BY ALL),
 aggregates AS (SELECT *, window_start + INTERVAL '1 hour' AS window_end,
   CASE WHEN packets_inbound + packets_outbound = 0 THEN 0.0
-       ELSE CAST(bytes_inbound + bytes_outbound AS DOUBLE)/(packets_inbound + packets_outbound)
+       ELSE CAST(CAST(bytes_inbound AS HUGEINT) + bytes_outbound AS DOUBLE)/(packets_inbound + packets_outbound)
   END AS average_packet_size
 FROM totals)"""
 
@@ -283,7 +286,7 @@ _LIMIT_ALERTS = " UNION ALL ".join(
 )
 
 _SAMPLE = ", ".join(
-    f"{m}, CAST(sum({m}) OVER w AS BIGINT) AS {m}_sum, max({m}) OVER w AS {m}_record"
+    f"{m}, CAST(least(sum({m}) OVER w, {_MOST}) AS BIGINT) AS {m}_sum, max({m}) OVER w AS {m}_record"
     for m in ("bytes_inbound", "bytes_outbound", "unique_flow_count")
 )
 
@@ -316,6 +319,40 @@ ticked AS (SELECT *, time_bucket(INTERVAL '10 minutes', ts) AS tick_start, 1 AS
     "ticked", "'global-key'"
 ) + "," + WARNINGS_FROM_AGGREGATES
 
+# the six applications: the last tick never closes, nor does the window its predecessor lies in
+_APPLIED = (
+    _FRAME_TRAFFIC.replace(
+        "FROM decoded),\n", "FROM decoded WHERE time_bucket(INTERVAL '10 minutes', ts) + INTERVAL '10 minutes'"
+        " <= (SELECT max(ts) FROM decoded)),\n"
+    )
+    .replace("\naggregates AS (SELECT *,", "\nevery_window AS (SELECT *,")
+    .replace(
+        "\nlong AS (",
+        "\naggregates AS (SELECT * FROM every_window WHERE window_end <= (SELECT max(tick_start) FROM ticked)),"
+        "\nlong AS (",
+    )
+)
+
+# Four files in time order, every fiftieth row one file late, a restart after the second. A window leaves
+# at the end of the batch after the one that passes it, so a row one file late still finds its window, but
+# for the rows that come after the restart: before it, the stream has closed all that it could.
+_RESTARTED = (
+    PACKETS.replace("packets AS (SELECT event_id", "every AS (SELECT event_id")
+    + """,
+dealt AS (SELECT *, least(3, CASE WHEN day(ts)<8 THEN 0 WHEN day(ts)<15 THEN 1 WHEN day(ts)<22 THEN 2 ELSE 3 END
+  + CASE WHEN pkt_seq%50=0 THEN 1 ELSE 0 END) AS part FROM every),
+packets AS (SELECT * EXCLUDE (part) FROM dealt WHERE part < 2 OR time_bucket(INTERVAL '1 hour', ts)
+  + INTERVAL '1 hour' > (SELECT max(ts) FROM dealt WHERE part < 2))"""
+    + WARNINGS[len(PACKETS):]
+)
+
+_EXTREME = RAW.replace(
+    "|| payload_size || ',\"min_size\":'",
+    "|| CASE WHEN event_id%4=0 THEN '1000000000000000000000000000000' ELSE CAST(payload_size AS VARCHAR) END"
+    " || ',\"min_size\":'",
+).replace(_json_integer("bytes"), f"CAST(least(trunc({_json_number('bytes')}), 9.2e18) AS BIGINT)")
+_EXTREME_TRAFFIC = _EXTREME + RAW_TRAFFIC[len(RAW):]
+
 _ALL_AGGREGATES = f"SELECT {_AGGREGATE_COLUMNS} FROM aggregates"
 _WARNING_COLUMNS = (
     "key, window_start, metric, current, samples, average, ratio, percent_above, severidade, descricao"
@@ -427,7 +464,7 @@ ORACLE: dict[str, str] = {
         || ',"tcp_ack_total":' || tcp_ack_total || ',"tcp_fin_total":' || tcp_fin_total
         || ',"tcp_rst_total":' || tcp_rst_total || ',"averagePacketSize":null'
         || ',"window_start":"' || {_ISO.format('window_start')}
-        || '","window_end":"' || {_ISO.format('window_end')} || '"}}' AS value FROM aggregates""",
+        || '","window_end":"' || {_ISO.format('window_end')} || '"}}' AS value, average_packet_size FROM aggregates""",
     ),
     "aggregate_json_roundtrip": _with(AGGREGATES, _ALL_AGGREGATES),
     "closed_windows": _with(AGGREGATES, f"{_ALL_AGGREGATES} {_CLOSED}"),
@@ -509,6 +546,41 @@ ORACLE: dict[str, str] = {
     "alert_delivery": _with(
         WARNINGS, f"SELECT {LEVEL} AS level, {TITLE} AS title, descricao AS text FROM warnings"
     ),
+    "stream_latest_warnings": _with(
+        WARNINGS,
+        f"""SELECT {LEVEL} AS level, {TITLE} AS title, descricao AS text FROM warnings
+        WHERE day(window_start)%3 <> 0""",
+    ),
+    "raw_traffic_extreme_numbers": _with(_EXTREME_TRAFFIC, _ALL_AGGREGATES),
+    "rolling_sample_extreme_numbers": _with(
+        _EXTREME_TRAFFIC,
+        f"""SELECT key, window_start, count(*) OVER w AS samples, {_SAMPLE} FROM aggregates
+        WINDOW w AS (PARTITION BY key ORDER BY window_start ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)""",
+    ),
+    "drop_late_topic": _late("", 'pkt_seq, "timestamp"'),
+    "aggregates_topic": _with(AGGREGATES, _ALL_AGGREGATES),
+    "stored_frames": _with(DECODED, "SELECT * FROM decoded"),
+    "ingest_time": _with(RAW, "SELECT count(*) AS flows, CAST(0 AS BIGINT) AS wrong FROM flows"),
+    "stream_restart": _with(
+        _RESTARTED,
+        f"""SELECT {_WARNING_COLUMNS} FROM warnings
+        WHERE window_start + INTERVAL '1 hour' <= (SELECT max(ts) FROM events)""",
+    ),
+    "stream_rolling_anomalies_by_host": _with(
+        _HOST_WARNINGS,
+        f"""SELECT {_WARNING_COLUMNS} FROM warnings
+        WHERE window_start + INTERVAL '1 hour' <= (SELECT max(ts) FROM events)""",
+    ),
+    "applications": _with(
+        _APPLIED,
+        f"""SELECT 'raw' AS stage, count(*) AS rows FROM
+          (SELECT DISTINCT tick_start, src_ip, src_port, dst_ip, dst_port, protocol FROM ticked)
+        UNION ALL SELECT 'aggregates', count(*) FROM aggregates
+        UNION ALL SELECT 'warnings', count(*) FROM warnings
+        UNION ALL SELECT 'summaries', 3 * count(*) FROM aggregates
+        UNION ALL SELECT 'limits', count(*) FROM ({_LIMIT_ALERTS})
+        UNION ALL SELECT 'alerts', count(*) FROM warnings""",
+    ),
     "stage_counts": _with(
         RAW_TRAFFIC,
         """SELECT 'received_rows' AS metric, count(*) AS value FROM raw

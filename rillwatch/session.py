@@ -1,19 +1,16 @@
-"""Session settings and lineage cuts."""
+"""Session settings, folders for stored tables and lineage cuts."""
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Settings a job should start with; cluster sizing (executors, memory) is left to spark-submit.
-SETTINGS = {
+# what the operators rely on; can be set on a running session
+RUNTIME = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # the JVM never compiles a larger method: run such a stage operator by operator instead
-    "spark.sql.codegen.hugeMethodLimit": "8000",
     # a JSON record that repeats a key keeps the last value instead of being rejected
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.streaming.stateStore.providerClass": (
@@ -21,57 +18,67 @@ SETTINGS = {
     ),
 }
 
+# settings a job should start with; cluster sizing (executors, memory) is left to spark-submit
+SETTINGS = {
+    **RUNTIME,
+    # the JVM never compiles a larger method: run such a stage operator by operator instead
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+}
+
+_folders: list[str] = []
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings the operators rely on to an existing session."""
-    for name, value in SETTINGS.items():
+    for name, value in RUNTIME.items():
         spark.conf.set(name, value)
     return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: the one named in ``spark.checkpoint.dir``.
-
-    A local session without the setting gets a temporary folder; a cluster session must name one.
-    """
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if named:
-        return named
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="rillwatch-")
-    context.setCheckpointDir(folder)
-    return folder
+    """Folder every executor can reach: the one named in ``spark.checkpoint.dir``, else one below the
+    warehouse folder, which a cluster shares anyway."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/rillwatch"
 
 
 def new_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the shared folder, for one run's tables or stream state."""
-    return f"{shared_folder(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    _folders.append(path)
+    return path
+
+
+def remove_folders(spark: SparkSession) -> None:
+    """Remove all folders that :func:`new_folder` has named in this process.
+
+    Tables in them can't be read any more, so call it once results are written elsewhere.
+    """
+    while _folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_folders.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Store ``df`` reliably, so that reading it twice or losing an executor redoes nothing."""
+    """Store ``df`` as a table in the shared folder, so that reading it twice, in part or after the loss
+    of an executor redoes nothing before it."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
+    path = new_folder(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
-def stream_start(spark: SparkSession) -> Iterator[None]:
-    """Settings for starting a stream, which keeps them for good.
+def state_partitions(spark: SparkSession, number: int | None) -> Iterator[None]:
+    """Number of state partitions of a stream that is started within; the stream keeps it for good.
 
-    A stateful stream opens one state store per shuffle partition in every micro-batch, and nothing
-    merges small ones. A local session needs no more of them than it has threads; on a cluster the
-    configured number holds.
+    None leaves the configured number of shuffle partitions.
     """
     name = "spark.sql.shuffle.partitions"
     configured = spark.conf.get(name)
-    threads = spark.sparkContext.defaultParallelism
-    if spark.sparkContext.master.startswith("local") and int(configured) > threads:
-        spark.conf.set(name, str(threads))
+    if number is not None:
+        spark.conf.set(name, str(number))
     try:
         yield
     finally:

@@ -1,6 +1,6 @@
 """Readers and writers of topics."""
 
-from .sinks import deliver_alerts, stream_topic, write_topic
+from .sinks import deliver_alerts, each_batch, stream_topic, write_topic
 from .topics import (
     read_aggregates,
     read_flows,
@@ -12,6 +12,7 @@ from .topics import (
 
 __all__ = [
     "deliver_alerts",
+    "each_batch",
     "read_aggregates",
     "read_flows",
     "read_frames",

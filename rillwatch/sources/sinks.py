@@ -2,14 +2,14 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.parse import parse_warnings
 from ..operators.route import alert_messages
 from ..schemas import TOPIC_ROWS
-from ..session import new_folder, stream_start
+from ..session import new_folder, state_partitions
 
 
 def _topic_rows(records: DataFrame, topic: str | None) -> DataFrame:
@@ -57,40 +57,58 @@ def stream_topic(
     name: str | None = None,
     available_now: bool = False,
     interval: str = "10 seconds",
+    partitions: int | None = None,
     **options: str,
 ) -> StreamingQuery:
     """Start appending a stream of records to their topics.
 
-    ``checkpoint`` is what makes the stream restartable; by default a new folder below the shared
-    one. ``available_now`` works off what is there and stops.
+    ``checkpoint`` is what makes the stream restartable, so a lasting stream needs one.
+    ``available_now`` works off what is there and stops; it may do without. ``partitions`` is the
+    number of state partitions, by default that of the session's shuffles.
     """
     spark = records.sparkSession
+    checkpoint = _checkpoint(spark, checkpoint, available_now)
     rows = _kafka_rows(records, topic) if fmt == "kafka" else _topic_rows(records, topic)
     writer = (
         rows.writeStream.format(fmt)
         .outputMode("append")
         .options(**options)
-        .option("checkpointLocation", checkpoint or new_folder(spark, "stream"))
+        .option("checkpointLocation", checkpoint)
     )
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
     if name:
         writer = writer.queryName(name)
-    with stream_start(spark):
+    with state_partitions(spark, partitions):
         return writer.start() if fmt == "kafka" else writer.partitionBy("topic").start(path)
 
 
-def deliver_alerts(
-    raw_warnings: DataFrame,
-    write: Callable[[DataFrame], None],
+def _checkpoint(spark: SparkSession, checkpoint: str | None, available_now: bool) -> str:
+    if checkpoint is None and not available_now:
+        raise ValueError("a lasting stream needs a checkpoint folder, or a restart would begin anew")
+    return checkpoint or new_folder(spark, "stream")
+
+
+def each_batch(
+    rows: DataFrame,
+    write: Callable[[DataFrame, int], None],
     checkpoint: str | None = None,
     available_now: bool = False,
 ) -> StreamingQuery:
-    """Hand each micro-batch of alerts to ``write``, one row per readable warning record."""
+    """Hand every micro-batch and its number to ``write``.
 
-    def one_batch(batch: DataFrame, _: int) -> None:
-        write(alert_messages(parse_warnings(batch)))
-
-    writer = raw_warnings.writeStream.foreachBatch(one_batch).option(
-        "checkpointLocation", checkpoint or new_folder(raw_warnings.sparkSession, "alerts")
-    )
+    A batch whose write failed comes again with the same number, so a writer that remembers the last
+    number it has finished delivers each batch once.
+    """
+    location = _checkpoint(rows.sparkSession, checkpoint, available_now)
+    writer = rows.writeStream.foreachBatch(write).option("checkpointLocation", location)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def deliver_alerts(
+    raw_warnings: DataFrame,
+    write: Callable[[DataFrame, int], None],
+    checkpoint: str | None = None,
+    available_now: bool = False,
+) -> StreamingQuery:
+    """Hand each micro-batch of alerts and its number to ``write``, one row per readable warning."""
+    return each_batch(alert_messages(parse_warnings(raw_warnings)), write, checkpoint, available_now)

@@ -5,11 +5,24 @@ options; needs the connector package on the cluster) or a folder of files with t
 key, value, topic, partition, offset and timestamp, written by :mod:`rillwatch.sources.sinks`.
 """
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.parse import parse_aggregates, parse_flows, parse_warnings
 from ..schemas import AGGREGATED_TOPIC, FRAMES, PACKETS, RAW_TOPIC, TOPIC_ROWS, WARNINGS_TOPIC
+from ..session import new_folder
+
+
+def _files_at_start(spark: SparkSession, fmt: str, path: str, position: str) -> DataFrame:
+    """Files of a topic when a stream with this position first started; later starts read the same list."""
+    try:
+        return spark.read.parquet(position)
+    except AnalysisException:
+        rows = spark.read.schema(TOPIC_ROWS).format(fmt).load(path)
+        files = rows.select(F.col("_metadata.file_path").alias("_file")).distinct()
+        files.write.mode("overwrite").parquet(position)
+        return spark.read.parquet(position)
 
 
 def read_topic(
@@ -19,12 +32,15 @@ def read_topic(
     path: str | None = None,
     stream: bool = False,
     starting: str = "earliest",
+    position: str | None = None,
     **options: str,
 ) -> DataFrame:
     """Records of a topic with text key and value.
 
-    ``starting="latest"`` reads only what arrives from now on: Kafka offsets, or for files the
-    record timestamps.
+    ``starting="latest"`` skips what the topic holds when the stream first starts and nothing that is
+    written later, whatever its time. Kafka keeps that place in the stream's checkpoint; for files it is
+    the list of the files then there, kept in the folder ``position``. Pass the same folder at a
+    restart, so that what was written in between is read; by default each call is a first start.
     """
     if starting not in ("earliest", "latest"):
         raise ValueError(f"starting must be 'earliest' or 'latest', not {starting!r}")
@@ -45,8 +61,9 @@ def read_topic(
         raise ValueError("a file topic needs its path")
     records = reader.schema(TOPIC_ROWS).load(path).where(F.col("topic") == topic)
     if starting == "latest":
-        now = spark.range(1).select(F.current_timestamp()).first()[0]
-        records = records.where(F.col("timestamp") >= F.lit(now))
+        known = _files_at_start(spark, fmt, path, position or new_folder(spark, "position"))
+        named = records.select(*TOPIC_ROWS.names, F.col("_metadata.file_path").alias("_file"))
+        records = named.join(known, "_file", "left_anti").select(*TOPIC_ROWS.names)
     return records
 
 

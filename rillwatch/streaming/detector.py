@@ -4,8 +4,10 @@ Row frames are not available on streams, so each key keeps its last values as st
 lists, however long the stream runs.
 """
 
+import logging
 import sys
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -15,15 +17,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.detect import warning_text
 from ..schemas import HISTORY, METRICS, MIN_SAMPLES, MISSING_KEY, RATIOS, SEVERITIES, WARNINGS
 
 # ship this module to the executors by value, so that they need no copy of the package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_LABELS = {name: label for name, label, *_ in METRICS}
-_STATE = T.StructType([T.StructField(name, T.ArrayType(T.LongType())) for name in _LABELS])
-_COLUMNS = list(WARNINGS.names)
+_NAMES = [name for name, *_ in METRICS]
+_STATE = T.StructType([T.StructField(name, T.ArrayType(T.LongType())) for name in _NAMES])
+_RATED = T.StructType([field for field in WARNINGS if field.name != "descricao"])
+_COLUMNS = list(_RATED.names)
 _SEVERITIES = tuple(SEVERITIES)
+_LARGEST = 2**63 - 1
 
 
 class RollingDetector(StatefulProcessor):
@@ -42,32 +47,32 @@ class RollingDetector(StatefulProcessor):
         windows = pd.concat(list(rows)).sort_values("window_start", kind="stable")
         known = self.values.get() if self.values.exists() else None
         found, kept = [], []
-        for position, (metric, label) in enumerate(_LABELS.items()):
-            past = np.asarray(known[position] if known else [], dtype="int64")
-            series = np.concatenate([past, windows[metric].to_numpy(dtype="int64")])
-            found.append(self._check(key[0], windows["window_start"], metric, label, series, len(past)))
-            kept.append([int(value) for value in series[-self.history :]])
+        for position, metric in enumerate(_NAMES):
+            past = list(known[position]) if known else []
+            series = list(chain(past, map(int, windows[metric])))
+            try:
+                found.append(self._check(key[0], windows["window_start"], metric, series, len(past)))
+            except Exception:  # a metric that fails leaves the others, and its own history, as they are
+                logging.getLogger(__name__).exception("metric %s of key %s was not checked", metric, key[0])
+            kept.append(series[-self.history :])
         self.values.update(tuple(kept))
-        yield pd.concat(found, ignore_index=True)
+        if found:
+            yield pd.concat(found, ignore_index=True)
 
-    def _check(self, key, starts, metric, label, series, known) -> pd.DataFrame:
+    def _check(self, key, starts, metric, series, known) -> pd.DataFrame:
         at = np.arange(known, len(series))
         oldest = np.maximum(at - self.history, 0)
-        sums = np.concatenate([[0], np.cumsum(series)])
+        # whole numbers of any size: sums of large counts neither stop nor wrap
+        sums = np.array([0, *np.cumsum(np.array(series, dtype=object))], dtype=object)
         samples = at - oldest
-        totals = sums[at] - sums[oldest]
+        totals = (sums[at] - sums[oldest]).astype("float64")
         ready = (samples >= self.min_samples) & (totals > 0)
         at, samples, totals = at[ready], samples[ready], totals[ready]
-        current = series[at]
+        current = np.array([series[i] for i in at], dtype="int64")
         average = totals / samples
         ratio = current / average
         grade = np.searchsorted(np.asarray(self.ratios), ratio, side="right")
-        percent = np.floor((ratio - 1) * 100 + 0.5).astype("int64")
-        rounded = np.floor(average + 0.5).astype("int64")
-        texts = [
-            f"O último agregado registrou {c} {label}, {p}% acima da média de {a} nas {n} amostras anteriores"
-            for c, p, a, n in zip(current, percent, rounded, samples)
-        ]
+        percent = np.floor((ratio - 1) * 100 + 0.5)
         rated = pd.DataFrame(
             {
                 "key": key,
@@ -77,9 +82,8 @@ class RollingDetector(StatefulProcessor):
                 "samples": samples.astype("int32"),
                 "average": average,
                 "ratio": ratio,
-                "percent_above": percent,
+                "percent_above": [min(int(p), _LARGEST) for p in percent],
                 "severidade": [_SEVERITIES[g - 1] if g else None for g in grade],
-                "descricao": texts,
             }
         )
         return rated[grade > 0][_COLUMNS]
@@ -98,8 +102,11 @@ def stream_rolling_anomalies(
     keyed = aggregates.select(
         F.coalesce("key", F.lit(MISSING_KEY)).alias("key"),
         "window_start",
-        *[F.coalesce(F.col(name).cast("bigint"), F.lit(0)).alias(name) for name in _LABELS],
+        *[F.coalesce(F.col(name).cast("bigint"), F.lit(0)).alias(name) for name in _NAMES],
     )
-    return keyed.groupBy("key").transformWithStateInPandas(
-        RollingDetector(history, min_samples, ratios), WARNINGS, "append", "None"
+    rated = keyed.groupBy("key").transformWithStateInPandas(
+        RollingDetector(history, min_samples, ratios), _RATED, "append", "None"
     )
+    label = F.coalesce(*[F.when(F.col("metric") == name, F.lit(text)) for name, text, *_ in METRICS])
+    text = warning_text(F.col("current"), label, F.col("percent_above"), F.col("average"), F.col("samples"))
+    return rated.withColumn("descricao", text).select(*WARNINGS.names)

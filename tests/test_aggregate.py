@@ -137,9 +137,10 @@ def test_each_source_partition_has_its_own_stream_time(spark):
     assert kept.count() == 7 + 2 + 2
 
 
-def test_records_without_a_position_come_first(spark):
+def test_records_without_a_position_are_an_error(spark):
     rows = arrivals(spark).unionByName(arrivals(spark, [(None, 5)]))
-    assert drop_late(rows, chunk_rows=2).where("offset IS NULL").count() == 1
+    with pytest.raises(Exception, match="no offset"):
+        drop_late(rows, chunk_rows=2).count()
 
 
 def test_running_matches_a_plain_window(spark):

@@ -8,7 +8,7 @@ from rillwatch.operators import classify_direction, decode_frames
 from rillwatch.schemas import FRAMES
 
 NET, MASK = 0x0A2A0100, 0xFFFFFF00
-LOCAL, REMOTE = 0x0A2A01E4, 0xD8EF20DF
+LOCAL, REMOTE = 0x0A2A014D, 0xCB007109
 
 
 def frame(
@@ -30,7 +30,7 @@ def frame(
     data += struct.pack(">BBHHHBBHII", version << 4 | ihl, 0, total, 0, 0, 64, protocol, 0, src, dst)
     data += bytes((ihl - 5) * 4)
     if protocol == 6:
-        data += struct.pack(">HHIIBBHHH", 45764, 443, 1, 2, offset << 4, flags, 0, 0, 0)
+        data += struct.pack(">HHIIBBHHH", 50123, 443, 1, 2, offset << 4, flags, 0, 0, 0)
         data += bytes((offset - 5) * 4)
     else:
         data += struct.pack(">HHHH", 5353, 65535, payload + 8, 0)
@@ -49,7 +49,7 @@ def decode(spark, *captures):
 def test_fields(spark):
     row = decode(spark, (frame(), None))[0]
     assert (row.src_ip, row.dst_ip) == (LOCAL, REMOTE)
-    assert (row.src_port, row.dst_port, row.protocol) == (45764, 443, 6)
+    assert (row.src_port, row.dst_port, row.protocol) == (50123, 443, 6)
     assert (row.payload_size, row.tcp_flags) == (7, 0x12)
 
 
@@ -109,12 +109,12 @@ def test_direction(spark):
 
 def test_addresses(spark):
     rows = spark.createDataFrame(
-        [("10.42.1.228",), ("255.255.255.255",), ("0.0.0.0",), ("1.2.3",), ("1.2.3.256",), ("01.2.3.4",), ("x",), (None,)],
+        [("10.42.1.77",), ("255.255.255.255",), ("0.0.0.0",), ("1.2.3",), ("1.2.3.256",), ("01.2.3.4",), ("x",), (None,)],
         "text STRING",
     )
     number = text_to_ip(F.col("text"))
     got = rows.select("text", number.alias("n"), ip_to_text(number).alias("back")).collect()
-    assert [r.n for r in got] == [170525156, 4294967295, 0, None, None, None, None, None]
+    assert [r.n for r in got] == [170525005, 4294967295, 0, None, None, None, None, None]
     assert [r.back for r in got[:3]] == [r.text for r in got[:3]]
 
 

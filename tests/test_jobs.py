@@ -51,7 +51,7 @@ def test_frames_to_alerts_through_every_topic(spark, sf_dir, tmp_path):
     limits, alerts = str(tmp_path / "limits"), str(tmp_path / "alerts")
 
     def store(path):
-        return lambda batch: batch.write.mode("append").parquet(path)
+        return lambda batch, number: batch.write.mode("append").parquet(path)
 
     limit_job(
         spark, earliest, store(limits), available_now=True, bytes_in=0, bytes_out=10**9, unique_flows=10**9

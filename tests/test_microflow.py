@@ -17,8 +17,8 @@ from rillwatch.operators import (
 from rillwatch.plans import derived
 
 NET, MASK = 0x0A2A0100, 0xFFFFFF00
-LOCAL, REMOTE = 0x0A2A01E4, 0xD8EF20DF
-FLOW = (LOCAL, REMOTE, 45764, 443, 6)
+LOCAL, REMOTE = 0x0A2A014D, 0xCB007109
+FLOW = (LOCAL, REMOTE, 50123, 443, 6)
 
 
 def test_counts_and_mean_gap(spark):
@@ -35,7 +35,7 @@ def test_counts_and_mean_gap(spark):
     assert (first.packets, first.bytes, first.min_size, first.max_size) == (3, 510, 0, 500)
     assert first.mean_iat_us == 400000.0
     assert first.tcp.asDict() == {"syn": 2, "ack": 2, "fin": 1, "rst": 0}
-    assert first.dir == "OUTBOUND" and first.src_ip == "10.42.1.228"
+    assert first.dir == "OUTBOUND" and first.src_ip == "10.42.1.77"
     assert second.tick_start == START + timedelta(seconds=1)
     assert (second.packets, second.mean_iat_us, second.tcp.rst) == (1, 0.0, 1)
 
@@ -66,8 +66,8 @@ def test_report_line(spark):
     packets = packet_rows(spark, [(1, 0.0, *FLOW, 1, 2), (2, 0.5, LOCAL, LOCAL, 1, 2, 17, 4, 0)])
     rows = flow_report(microflow_aggregate(packets, NET, MASK)).orderBy("dir").collect()
     assert [tuple(r)[1:] for r in rows] == [
-        ("10.42.1.228:1 -> 10.42.1.228:2", "LAT", "UDP", 1, 4, "4/4", "0.0 us", "-"),
-        ("10.42.1.228:45764 -> 216.239.32.223:443", "OUT", "TCP", 1, 1, "1/1", "0.0 us", "1/0/0/0"),
+        ("10.42.1.77:1 -> 10.42.1.77:2", "LAT", "UDP", 1, 4, "4/4", "0.0 us", "-"),
+        ("10.42.1.77:50123 -> 203.0.113.9:443", "OUT", "TCP", 1, 1, "1/1", "0.0 us", "1/0/0/0"),
     ]
 
 

@@ -27,7 +27,7 @@ from rillwatch.sources import (
     stream_topic,
     write_topic,
 )
-from rillwatch.streaming import drain, stream_rolling_anomalies, tap
+from rillwatch.streaming import drain, read_table_stream, stream_rolling_anomalies, tap, view_job
 
 NETWORK = (derived.LOCAL_NET, derived.LOCAL_MASK)
 SHAPE = {"window": "6 hours", "tick": "1 hour"}
@@ -128,6 +128,115 @@ def test_aggregates_topic_round_trip(spark, packets, tmp_path):
     assert sorted(again.select(traffic.columns).collect()) == sorted(traffic.collect())
 
 
+def test_a_failed_batch_comes_again_with_its_number(spark, tmp_path):
+    topic, checkpoint = str(tmp_path / "topic"), str(tmp_path / "stream")
+    row = spark.createDataFrame([("k", '{"severidade":"alta","descricao":"a"}')], "key STRING, value STRING")
+    write_topic(row, WARNINGS_TOPIC, fmt="parquet", path=topic)
+    seen = []
+
+    def write(alerts, batch):
+        seen.append((batch, alerts.count()))
+        if len(seen) == 1:
+            raise ValueError("not now")
+
+    def run():
+        records = read_topic(spark, WARNINGS_TOPIC, fmt="parquet", path=topic, stream=True)
+        deliver_alerts(records, write, checkpoint, available_now=True).awaitTermination()
+
+    with pytest.raises(Exception, match="not now"):
+        run()
+    run()
+    assert seen == [(0, 1), (0, 1)]
+
+
+def test_a_lasting_stream_needs_a_checkpoint(spark, tmp_path):
+    topic = str(tmp_path / "topic")
+    row = spark.createDataFrame([("k", "v")], "key STRING, value STRING")
+    write_topic(row, WARNINGS_TOPIC, fmt="parquet", path=topic)
+    records = read_topic(spark, WARNINGS_TOPIC, fmt="parquet", path=topic, stream=True)
+    with pytest.raises(ValueError, match="checkpoint"):
+        deliver_alerts(records, lambda alerts, batch: None)
+    with pytest.raises(ValueError, match="checkpoint"):
+        stream_topic(records, fmt="parquet", path=str(tmp_path / "out"))
+
+
+def test_paths_with_pattern_characters_can_be_streamed(spark, packets, tmp_path):
+    for name in ("plain", "odd{1}[a]*", "end-"):
+        folder = str(tmp_path / name)
+        packets.limit(5).write.parquet(folder)
+        for path in (folder, folder + "/"):
+            assert drain(read_table_stream(spark, path, PACKETS)).count() == 5
+
+
+def test_a_failing_metric_leaves_the_others(spark, packets, monkeypatch):
+    from rillwatch.streaming import detector
+
+    class Fragile(detector.RollingDetector):
+        def _check(self, key, starts, metric, series, known):
+            if metric == "bytes_inbound":
+                raise ValueError("broken")
+            return super()._check(key, starts, metric, series, known)
+
+    aggregates = packet_traffic(packets, *NETWORK, **SHAPE)
+    folder = new_folder(spark, "aggregates")
+    aggregates.write.parquet(folder)
+
+    def found():
+        stream = spark.readStream.schema(aggregates.schema).parquet(folder)
+        rows = drain(stream_rolling_anomalies(stream, ratios=(1.05, 1.2, 1.4))).collect()
+        return {m: sorted(r for r in rows if r.metric == m) for m in {r.metric for r in rows}}
+
+    whole = found()
+    monkeypatch.setattr(detector, "RollingDetector", Fragile)
+    some = found()
+    whole.pop("bytes_inbound")
+    assert some == whole and some
+
+
+def test_huge_counts_give_the_same_numbers_in_batch_and_stream(spark):
+    from builders import aggregate_rows
+
+    from rillwatch.operators import rolling_means
+
+    rows = aggregate_rows(spark, [(n, 9 * 10**18 // (1 + (n < 5)), 10, n + 1) for n in range(8)])
+    folder = new_folder(spark, "aggregates")
+    rows.write.parquet(folder)
+    stream = spark.readStream.schema(rows.schema).parquet(folder)
+    got = drain(stream_rolling_anomalies(stream))
+    assert sorted(got.collect()) == sorted(rolling_anomalies(rows).collect())
+    means = {r.window_start: r.average for r in rolling_means(rows).collect() if r.metric == "bytes_inbound"}
+    assert max(means.values()) > 4e18
+
+
+def test_latest_delivers_old_times_and_what_came_while_down(spark, tmp_path):
+    topic, checkpoint, seen = str(tmp_path / "topic"), str(tmp_path / "stream"), []
+
+    def put(text):
+        rows = spark.createDataFrame(
+            [("k", f'{{"severidade":"alta","descricao":"{text}"}}', "2020-01-01 00:00:00")],
+            "key STRING, value STRING, t STRING",
+        )
+        rows = rows.select("key", "value", F.col("t").cast("timestamp").alias("timestamp"))
+        write_topic(rows, WARNINGS_TOPIC, fmt="parquet", path=topic)
+
+    def run():
+        view_job(
+            spark,
+            {"fmt": "parquet", "path": topic},
+            lambda alerts, batch: seen.extend(r.text for r in alerts.collect()),
+            checkpoint,
+            available_now=True,
+        ).awaitTermination()
+
+    put("before")
+    run()
+    put("while down")
+    put("and more")
+    run()
+    run()
+    assert sorted(seen) == ["and more", "while down"]
+
+
 def test_latest_skips_what_is_already_there(spark, tmp_path):
     path = str(tmp_path / "warnings")
     old = spark.createDataFrame(
@@ -157,7 +266,7 @@ def test_unreadable_warnings_do_not_stop_delivery(spark, tmp_path):
         path=topic,
     )
     records = read_topic(spark, WARNINGS_TOPIC, fmt="parquet", path=topic, stream=True)
-    deliver_alerts(records, lambda alerts: alerts.write.mode("append").parquet(out), available_now=True).awaitTermination()
+    deliver_alerts(records, lambda alerts, batch: alerts.write.mode("append").parquet(out), available_now=True).awaitTermination()
     got = spark.read.parquet(out).orderBy("text").collect()
     assert [(r.level, r.text) for r in got] == [("ERROR", "a"), ("INFO", "b")]
 
