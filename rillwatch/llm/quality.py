@@ -174,12 +174,14 @@ def fit_quality(
     total = clean.count()
     draw = F.pmod(F.xxhash64(F.lit("draw"), doc_key()), F.lit(1_000_000))
     drawn = clean.where(draw < int(min(1.0, bound / max(1, total)) * 1_000_000))
-    rows = statistics.join(drawn, "doc_id").select("stats", "quality").orderBy(F.xxhash64("stats", "quality"))
-    found = rows.toArrow()
+    found = statistics.join(drawn, "doc_id").select("stats", "quality").toArrow()
     if not found.num_rows:
         return BoostedTrees(0.0, np.zeros((0, 1), int), np.zeros((0, 1)), np.zeros((0, 2)))
     data = np.array(found["stats"].to_pylist())
-    return BoostedTrees.fit(data, found["quality"].to_numpy().astype(float))
+    labels = found["quality"].to_numpy().astype(float)
+    # one order whatever the tasks', so that sums of doubles come out alike
+    order = np.lexsort([labels, *data.T])
+    return BoostedTrees.fit(data[order], labels[order])
 
 
 def quality_score(stats: Column, trees: BoostedTrees, spark: SparkSession) -> Column:
