@@ -35,6 +35,7 @@ HEADER = "<4sBxxxIIII"
 SAMPLE = 64  # every so many documents, the place of their bit is kept
 SEGMENT_IDS = 1_000_000
 END_ID = 1
+CORE_WORDS = 500_000  # words that a worker remembers: encoding them anew is what costs most here
 # characters that a word may end with, apart from its core; none of them begins a contraction
 _TAIL = b".,!?;:|$%&*#()"
 # letters that are composed already and whose lower case is one letter
@@ -137,7 +138,7 @@ class TextEncoder:
         self.by_word = by_word
         self.marks = [t["content"].encode() for t in json.loads(definition).get("added_tokens", ())]
         self.mark = os.path.commonprefix(self.marks) if self.marks else None
-        self.cores = WordMemo(self._encode_cores)
+        self.cores = WordMemo(self._encode_cores, CORE_WORDS)
 
     @staticmethod
     def _without_preparation(definition: str) -> str:
