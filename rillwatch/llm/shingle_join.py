@@ -35,6 +35,7 @@ LEAST_BITS, MOST_BITS = 512, 65536
 TILE = 512
 SHORT = 16  # pairs of lists up to this length are tested once a pair and not in every list
 FIRSTS = 4
+LONG, MOST_LONG = 24, 200_000  # postings with so many documents count as long; as many are remembered
 BROADCAST_IDS = 200_000  # more ids of documents than this are joined by a shuffle
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -178,7 +179,7 @@ def least_overlap(size: int, num: int, den: int) -> int:
 
 def _prefixes(size: int, num: int, den: int, order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets, crowds = order.value
+        buckets, crowds, tokens, lengths = order.value
         weight = np.zeros(1 << BUCKET_BITS, np.int64)
         weight[buckets] = crowds
         for batch, sets in _sets(size, batches):
@@ -187,6 +188,9 @@ def _prefixes(size: int, num: int, den: int, order):
                 digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                 first = len(found) - least_overlap(len(found), num, den) + 1 if len(found) else 0
                 crowd = weight[(found >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
+                if len(tokens) and len(found):
+                    at = np.minimum(np.searchsorted(tokens, found), len(tokens) - 1)
+                    crowd = np.where(tokens[at] == found, lengths[at], crowd)
                 # hashes are sorted, so a stable sort by crowd orders by (crowd, hash)
                 prefixes.append(found[np.argsort(crowd, kind="stable")[:first]].astype(np.int64))
                 bitmaps.append(_bitmap(found))
@@ -299,12 +303,12 @@ def _arrays(size: int):
 def _tile_pairs(num: int, den: int, bitmaps: bool):
     """Rows sorted by tile and size to pairs of different groups that may be similar enough.
 
-    A pair that shares several shingles is made in one list if these are among its first ones.
+    A pair that shares several shingles is made in one list if one of them is among the smallest of both.
     """
     rest = [] if bitmaps else [None]
 
     def elsewhere(token, firsts, a, b):
-        """Whether two rows have another shingle in common among their first ones: that list has the pair."""
+        """Whether two rows share another of their smallest tokens: that list has the pair."""
         same = firsts[a][:, :, None] == firsts[b][:, None, :]
         at = same.any(2)
         first = firsts[a, at.argmax(1)]
@@ -419,14 +423,29 @@ def similar_groups(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10,
         .agg(F.sum("n").alias("n"))
         .toArrow()
     )
-    order = spark.sparkContext.broadcast((crowded["bucket"].to_numpy(), crowded["n"].to_numpy()))
-    sets = stored(
-        rows.mapInArrow(
+    buckets = (crowded["bucket"].to_numpy(), crowded["n"].to_numpy())
+
+    def prefixed(tokens: np.ndarray, lengths: np.ndarray) -> DataFrame:
+        order = spark.sparkContext.broadcast((*buckets, tokens, lengths))
+        return rows.mapInArrow(
             _prefixes(size, num, den, order),
             "doc_id bigint, doc bigint, n int, d1 bigint, d2 bigint, prefix array<bigint>, bitmap binary",
-        ),
-        "shingle-prefixes",
+        )
+
+    # a first try shows which postings have long lists; the longest of them go to the end of the order,
+    # too. The order only decides how much work is done: any one that all documents share is right.
+    tried = prefixed(np.zeros(0, np.uint64), np.zeros(0, np.int64)).select(F.explode("prefix").alias("token"))
+    long_lists = (
+        tried.groupBy("token")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .where(F.col("n") > LONG)
+        .orderBy(F.desc("n"), "token")
+        .limit(MOST_LONG)
+        .toArrow()
     )
+    tokens = long_lists["token"].to_numpy().astype(np.uint64)
+    by_token = np.argsort(tokens)
+    sets = stored(prefixed(tokens[by_token], long_lists["n"].to_numpy()[by_token]), "shingle-prefixes")
     filled = sets.where(F.col("n") > 0)
     classes = stored(filled.groupBy("d1", "d2").agg(F.min("doc").alias("node")), "shingle-classes")
     # one document of each class goes on; the others are few in most corpora, and are counted first
@@ -444,10 +463,6 @@ def similar_groups(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10,
     )
     near = shared.where("near").select("node").distinct()
     bitmaps = filled.select(F.col("doc").alias("node"), "n", "bitmap").join(near, "node", "left_semi")
-    first = F.transform(
-        F.sequence(F.lit(0), F.lit(FIRSTS - 1)), lambda i: F.coalesce(F.get("prefix", i), F.col("prefix")[0])
-    )
-    firsts_of = filled.select(F.col("doc").alias("node"), first.alias("firsts")).dropDuplicates(["node"])
     chain = (
         shared.where(F.col("before").isNotNull())
         .select(F.least("before", "node").alias("a"), F.greatest("before", "node").alias("b"))
@@ -468,8 +483,14 @@ def similar_groups(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10,
         .select("token", F.ceil(F.col("length") / tile).cast("int").alias("blocks"), "length")
     )
     order = ["token", "i", "j", "n", "node"]
-    rows_of = listed.join(mixed, "token").join(firsts_of, "node")
-    rows_of = stored(rows_of.select("token", "n", "node", "group", "firsts", "blocks", "length"), "mixed-postings")
+    in_mixed = stored(listed.join(mixed, "token"), "mixed-postings")
+    # the smallest tokens of a document: near copies have most of them in common
+    least = F.array_sort(F.collect_set("token"))
+    padded = F.transform(
+        F.sequence(F.lit(0), F.lit(FIRSTS - 1)), lambda i: F.coalesce(F.get("least", i), F.col("least")[0])
+    )
+    firsts_of = in_mixed.groupBy("node").agg(least.alias("least")).select("node", padded.alias("firsts"))
+    rows_of = stored(in_mixed.join(firsts_of, "node"), "mixed-postings")
     short = rows_of.where(F.col("length") <= SHORT).select(
         "token", *[F.lit(0).alias(c) for c in ("i", "j")], "n", "node", "group", F.lit(0).alias("side"), "firsts"
     )
