@@ -30,6 +30,7 @@ PARTITIONS = 32
 GRAPH_NEIGHBOURS = 20
 COVER = 0.97
 BLOCK = 2048
+TASK_VISITS = 20_000  # queries times partitions that a search task handles
 HELD_ROWS = 1_000_000  # results that a task gathers before it passes them on
 HIDDEN = 128
 EPOCHS = 12
@@ -288,7 +289,9 @@ def nearest_neighbours(
     queries = rows.where(is_query).select("id", "vec").mapInArrow(_route(model, visits), routed)
     queries = _packed(queries.select(F.explode("parts").alias("part"), "id", "vec"))
     queries = queries.withColumnsRenamed({"ids": "asked", "data": "queries"})
-    found = candidates.join(queries, "part").mapInArrow(
+    # a task joins the results of the blocks it has seen; few visits to a task would leave many rows
+    tasks = 1 + rows.where(is_query).count() * visits // TASK_VISITS
+    found = candidates.join(queries, "part").coalesce(tasks).mapInArrow(
         _search(count), "query_id bigint, vec_id bigint, score double"
     )
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
