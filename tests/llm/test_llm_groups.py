@@ -256,6 +256,24 @@ def test_large_group_is_split_into_few_shards(spark):
     assert sum(len(s) > 1 for t, s in where.items() if t.startswith("pair")) <= 5
 
 
+@pytest.mark.parametrize("copies,cut", [(2, 3), (3, 20)])
+def test_full_shards_exchange_copies(spark, copies, cut):
+    """Every document has copies, so no shard has a free place from the start."""
+    texts = [f"text {i // copies}" for i in range(480)]
+    rows = sharding.shard_documents(documents(spark, texts), shards=8).collect()
+    _check_shards(rows, 8)
+    where = defaultdict(set)
+    for row in rows:
+        where[texts[row.doc_id]].add(row.shard)
+    assert sum(len(s) > 1 for s in where.values()) <= cut
+
+
+def test_moves_go_along_cycles():
+    wanted = np.array([[0, 5, 0], [0, 0, 4], [3, 0, 0]])
+    assert sharding._flows(wanted, np.array([0, 0, 0])).tolist() == [[0, 3, 0], [0, 0, 3], [3, 0, 0]]
+    assert sharding._flows(wanted, np.array([0, 1, 2])).tolist() == [[0, 5, 0], [0, 0, 4], [3, 0, 0]]
+
+
 def test_shards_of_edge_cases(spark):
     rows = sharding.shard_documents(documents(spark, edge_texts()), shards=4).collect()
     _check_shards(rows, 4)
