@@ -16,18 +16,20 @@ Words are runs of characters other than white space, A-Z lower-cased. A text wit
 shingle has its whole sequence as its one shingle.
 
 Defined cases: null or empty texts and texts without words have an empty set and are linked with
-nothing; rows that share a doc_id are one document, in one group; rows without doc_id are one, too.
+nothing; rows that share a doc_id are one document, in one group, and link by any of their texts; rows
+without doc_id are documents of their own, those of equal text together.
 """
 
 import hashlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITE, doc_key, raw_texts, steps, stored, table
+from .common import NO_ID, WHITE, doc_key, raw_texts, steps, stored, table, text_key
 from .components import connected_components
 
 BUCKET_BITS = 20
@@ -407,14 +409,60 @@ def _bitmap_filter(pairs: DataFrame, bitmaps: DataFrame, num: int, den: int) ->
     return joined.where(possible("n_a", "bits_a", "n_b", "bits_b")).select("a", "b")
 
 
+def _marks() -> list[Column]:
+    """What tells apart the rows that repeat a doc_id or lack one."""
+    return [
+        doc_key().alias("doc"),
+        F.col("doc_id").isNull().alias("lacks"),
+        text_key().alias("h1"),
+        F.xxhash64(F.lit("key"), F.col("text")).alias("h2"),
+    ]
+
+
+def _odd_keys(docs: DataFrame) -> DataFrame | None:
+    """The marks of rows that repeat a doc_id or lack one, and a key of their own; None without such rows.
+
+    The keys are hashes, drawn again until they differ from each other and from every doc_id.
+    """
+    ids = docs.select(F.col("doc_id").cast("bigint").alias("key"))
+    counted = ids.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    odd_ids = stored(counted.where("key IS NULL OR n > 1").select(F.col("key").alias("doc")), "odd-ids")
+    if odd_ids.isEmpty():
+        return None
+    marked = docs.select(*_marks())
+    repeated = marked.where("NOT lacks").join(_few_broadcast(odd_ids.where("doc IS NOT NULL")), "doc", "left_semi")
+    odd = stored(marked.where("lacks").unionByName(repeated).distinct(), "odd-rows")
+    for seed in count():
+        keyed = stored(odd.withColumn("key", F.xxhash64(F.lit(seed), *odd.columns)), "odd-keys")
+        apart = keyed.select("key").distinct().count() == keyed.count()
+        if apart and ids.join(_few_broadcast(keyed.select("key")), "key", "left_semi").isEmpty():
+            return keyed
+
+
+def _with_key(rows: DataFrame, odd: DataFrame | None) -> DataFrame:
+    """Rows with the columns of ``_marks``; these are replaced by ``key``, which is the doc_id of most rows."""
+    marks = ["doc", "lacks", "h1", "h2"]
+    if odd is None:
+        return rows.withColumnRenamed("doc", "key").drop("lacks", "h1", "h2")
+    return rows.join(_few_broadcast(odd), marks, "left").withColumn("key", F.coalesce("key", "doc")).drop(*marks)
+
+
 def similar_groups(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10, tile: int = TILE) -> DataFrame:
     """One row per row of ``docs``: doc_id, doc (its key), n_shingles and component.
 
     Two documents link when ``den`` * intersection >= ``num`` * union of their sets of ``size``-word
-    shingles; component is the smallest key of a document that can be reached over links.
+    shingles; component is the smallest doc_id that can be reached over links, or NO_ID without one.
     """
+    groups = _grouped_rows(docs, _odd_keys(docs), size, num, den, tile)
+    return groups.select("doc_id", doc_key().alias("doc"), "n_shingles", "component")
+
+
+def _grouped_rows(docs: DataFrame, odd: DataFrame | None, size: int, num: int, den: int, tile: int) -> DataFrame:
+    """doc_id, key, n_shingles, component and stays (whether it is its group's smallest) of every row."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), doc_key().alias("doc"), "text")
+    # inside, doc is the key of a row
+    rows = _with_key(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *_marks()), odd)
+    rows = rows.select("doc_id", F.col("key").alias("doc"), "text")
     # at most one row per bucket, whatever the input
     crowded = (
         rows.select("text")
@@ -530,31 +578,49 @@ def similar_groups(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10,
         .select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
         .distinct()
     )
+    grouped = classes.join(groups, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("group"))
+    if odd is not None:
+        # rows of one doc_id belong together, those of empty texts as well
+        repeated = odd.where("NOT lacks").select(F.col("doc").alias("doc_id"), F.col("key").alias("doc"))
+        held = sets.select("doc", "d1", "d2").join(_few_broadcast(repeated), "doc").join(grouped, ["d1", "d2"], "left")
+        held = stored(held.select("doc_id", F.coalesce("group", "doc").alias("a")).distinct(), "repeated-ids")
+        bridges = bridges.unionByName(
+            held.join(held.groupBy("doc_id").agg(F.min("a").alias("b")), "doc_id").select("a", "b")
+        )
     joined = connected_components(bridges).select(
         F.col("node").alias("group"), F.col("component").alias("joined")
     )
-    final = (
-        classes.join(groups, "node", "left")
-        .select("d1", "d2", F.coalesce("component", "node").alias("group"))
-        .join(joined, "group", "left")
-        .select("d1", "d2", F.coalesce("joined", "group").alias("component"))
+    final = grouped.join(joined, "group", "left").select("d1", "d2", F.coalesce("joined", "group").alias("component"))
+    found = sets.select("doc_id", F.col("doc").alias("key"), F.col("n").cast("bigint").alias("n_shingles"), "d1", "d2")
+    found = found.join(final, ["d1", "d2"], "left").select(
+        "doc_id", "key", "n_shingles", F.coalesce("component", "key").alias("component")
     )
-    return (
-        sets.select("doc_id", "doc", F.col("n").cast("bigint").alias("n_shingles"), "d1", "d2")
-        .join(final, ["d1", "d2"], "left")
-        .select("doc_id", "doc", "n_shingles", F.coalesce("component", "doc").alias("component"))
+    if odd is None:
+        return found.withColumn("stays", F.col("key") == F.col("component"))
+    # a row of an empty text has its own key so far
+    ends = joined.withColumnRenamed("group", "component")
+    found = found.join(ends, "component", "left").withColumn("group", F.coalesce("joined", "component"))
+    found = stored(found.select("doc_id", "key", "n_shingles", "group"), "grouped-rows")
+    least = found.groupBy("group").agg(F.min("doc_id").alias("least"), F.min("key").alias("low"))
+    alone = F.col("least").isNull() & (F.col("key") == F.col("low"))
+    return found.join(least, "group").select(
+        "doc_id",
+        "key",
+        "n_shingles",
+        F.coalesce("least", F.lit(NO_ID)).alias("component"),
+        F.when(F.col("doc_id").isNull(), alone).otherwise(F.col("doc_id") == F.col("least")).alias("stays"),
     )
 
 
 def keep_one_of_each_group(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """``docs`` with the smallest doc_id of each group of similar documents only.
 
-    Rows that repeat a doc_id that stays all stay.
+    Rows that repeat a doc_id that stays all stay. Of a group without any doc_id, the rows of one text stay.
     """
-    groups = similar_groups(docs, size, num, den)
-    leaving = groups.where(F.col("doc") != F.col("component")).select("doc").distinct()
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), doc_key().alias("doc"))
-    return packed.join(leaving, "doc", "left_anti").select("row.*")
+    odd = _odd_keys(docs)
+    leaving = _grouped_rows(docs, odd, size, num, den, TILE).where("NOT stays").select("key").distinct()
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *_marks())
+    return _with_key(packed, odd).join(leaving, "key", "left_anti").select("row.*")
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

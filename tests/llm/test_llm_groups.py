@@ -100,6 +100,24 @@ def test_groups_of_edge_cases(spark):
     assert shingle_join.keep_one_of_each_group(empty).count() == 0
 
 
+def _repeated_ids():
+    """Rows that share a doc_id with different texts, or lack one, and a document with the smallest number."""
+    rnd = random.Random(12)
+    x, y, z, v, w = (" ".join(f"{c}{rnd.randrange(10**6)}" for _ in range(20)) for c in "xyzvw")
+    found = [(3, x), (5, x), (5, y), (6, y), (5, ""), (8, z), (8, z + " more"), (9, v), (9, w), (10, w + " end")]
+    return found + [(None, z), (None, v + " tail"), (None, "quite alone"), (-(2**63), "lowest of all"), (11, " ")]
+
+
+def test_texts_of_one_doc_id_join_groups(spark):
+    groups = shingle_join.similar_groups(documents(spark, _repeated_ids()), 3, 8, 10).collect()
+    got = {(r.doc_id, r.component) for r in groups}
+    low = -(2**63)
+    assert got == {(3, 3), (5, 3), (6, 3), (8, 8), (9, 9), (10, 9), (None, 8), (None, 9), (None, low), (low, low), (11, 11)}
+    kept = shingle_join.keep_one_of_each_group(documents(spark, _repeated_ids()), 3, 8, 10).collect()
+    assert Counter(r.doc_id for r in kept) == Counter([3, 8, 8, 9, 9, None, low, 11])
+    assert [r.text for r in kept if r.doc_id is None] == ["quite alone"]
+
+
 def test_lists_of_many_tiles(spark):
     """Texts that share most words but link in small groups only."""
     rnd = random.Random(8)
