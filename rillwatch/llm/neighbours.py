@@ -6,8 +6,8 @@ neighbours are. How many partitions a query visits is measured on the sample, so
 neighbours are found. All vectors are then indexed: each lies in its most probable partition, queries
 visit several, and the visited vectors are ranked again by the exact inner product.
 
-A vector that occurs more often than neighbours are asked for is indexed with its smallest ids only, as
-no others can be among the nearest. A partition is packed into blocks of bounded size, and queries
+A vector that occurs more often than neighbours are asked for is indexed with its smallest ids only (one
+more than asked for, each at most as often), as no others can be among the nearest. A partition is packed into blocks of bounded size, and queries
 likewise, so a task multiplies two bounded matrices however many vectors a partition holds.
 
 Defined cases: vectors that are null, of another length than most, zero, or hold null or non-finite
@@ -274,19 +274,23 @@ def nearest_neighbours(
     width = lengths[0][0] if lengths else 0
     total = lengths[0][1] if lengths else 0
     rows = rows.where(F.size("vec") == width)
-    # one more than asked for, as a query is no candidate of its own
-    same = Window.partitionBy("vec").orderBy("id")
-    known = stored(rows.withColumn("_copy", F.row_number().over(same)).where(F.col("_copy") <= count + 1), "vectors")
+    # one id more than asked for, as a query is no candidate of its own, and of each as many rows as asked for
+    alike, same = Window.partitionBy("vec", "id").orderBy("id"), Window.partitionBy("vec").orderBy("id")
+    known = rows.withColumn("_row", F.row_number().over(alike)).where(F.col("_row") <= count)
+    known = known.withColumn("_copy", F.dense_rank().over(same)).where(F.col("_copy") <= count + 1)
+    known = stored(known, "vectors")
     draw = F.pmod(F.xxhash64(F.lit("draw"), "id"), F.lit(1_000_000))
     share = int(min(1.0, sample / max(1, total)) * 1_000_000)
-    drawn = known.where((draw < share) & (F.col("_copy") == 1)).select("vec").orderBy(F.xxhash64("vec")).toArrow()
+    drawn = known.where((draw < share) & (F.col("_copy") == 1) & (F.col("_row") == 1)).select("vec").orderBy(F.xxhash64("vec")).toArrow()
     data = np.array(drawn["vec"].to_pylist(), np.float64).reshape(drawn.num_rows, width)
     router, visits = fit_router(data, partitions, cover)
     model = spark.sparkContext.broadcast(router.layers)
     routed = "id bigint, vec array<double>, parts array<int>"
     candidates = known.select("id", "vec").mapInArrow(_route(model, 1), routed)
     candidates = _packed(candidates.select(F.col("parts")[0].alias("part"), "id", "vec"))
-    queries = rows.where(is_query).select("id", "vec").mapInArrow(_route(model, visits), routed)
+    # rows that repeat an id with the same vector ask the same
+    asking = rows.where(is_query).select("id", "vec").distinct()
+    queries = asking.mapInArrow(_route(model, visits), routed)
     queries = _packed(queries.select(F.explode("parts").alias("part"), "id", "vec"))
     queries = queries.withColumnsRenamed({"ids": "asked", "data": "queries"})
     # a task joins the results of the blocks it has seen; few visits to a task would leave many rows

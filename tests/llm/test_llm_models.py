@@ -156,6 +156,14 @@ def test_several_visits_and_blocks(spark, monkeypatch):
     assert hits / (10 * len(wanted)) >= 0.9
 
 
+def test_vec_ids_that_repeat_hide_no_others(spark):
+    rows = [(0, [1.0, 0.5])] * 30 + [(i, [1.0, 0.5]) for i in range(1, 6)] + [(50, [0.5, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = _found(neighbours.nearest_neighbours(df, F.col("id").isin(0, 50)).collect())
+    assert [i for i, _ in got[0]] == [1, 2, 3, 4, 5, 50]
+    assert [i for i, _ in got[50]] == [0] * 20
+
+
 def test_neighbours_of_edge_cases(spark):
     bad = [None, [0.0, 0.0], [1.0, None], [float("nan"), 1.0], [float("inf"), 1.0], [1.0, 2.0, 3.0], []]
     rows = [(i, [1.0, 0.5]) for i in range(40)] + [(40 + i, v) for i, v in enumerate(bad)]
