@@ -8,7 +8,9 @@ visit several, and the visited vectors are ranked again by the exact inner produ
 
 A vector that occurs more often than neighbours are asked for is indexed with its smallest ids only (one
 more than asked for, each at most as often), as no others can be among the nearest. A partition is packed into blocks of bounded size, and queries
-likewise, so a task multiplies two bounded matrices however many vectors a partition holds.
+likewise; the blocks of a partition are dealt into slices of about SLICE_ROWS vectors and its query blocks
+into slices of about ASKED_ROWS queries. Each slice meets each query slice of its partition in a group of
+its own, so the work of a group does not grow with the table.
 
 Defined cases: vectors that are null, of another length than most, zero, or hold null or non-finite
 components are neither queries nor candidates; with fewer candidates than asked for all are returned;
@@ -30,7 +32,8 @@ PARTITIONS = 32
 GRAPH_NEIGHBOURS = 20
 COVER = 0.97
 BLOCK = 2048
-TASK_VISITS = 20_000  # queries times partitions that a search task handles
+SLICE_ROWS, ASKED_ROWS = 65_536, 16_384  # vectors and queries of a partition that meet in one group
+TASK_VISITS = 20_000  # queries times slices of partitions that a search task handles
 HELD_ROWS = 1_000_000  # results that a task gathers before it passes them on
 HIDDEN = 128
 EPOCHS = 12
@@ -253,6 +256,31 @@ def _packed(rows: DataFrame) -> DataFrame:
     return stored(spread.mapInArrow(_pack, "part int, ids binary, data binary"), "vector-blocks")
 
 
+def _slices(blocks: DataFrame, ids: str, rows: int, parts: int) -> list[int]:
+    """Slices of about ``rows`` rows that the blocks of each partition make, one at least."""
+    held = blocks.groupBy("part").agg(F.sum(F.octet_length(ids)).alias("bytes")).collect()  # one row a partition
+    found = {r["part"]: -(-r["bytes"] // (8 * rows)) for r in held}
+    return [max(1, found.get(p, 1)) for p in range(parts)]
+
+
+def _paired(candidates: DataFrame, queries: DataFrame, parts: int) -> tuple[DataFrame, int]:
+    """Every block of a partition with every query block of it, grouped by slices, and the most slices of a partition."""
+    blocks, asked = _slices(candidates, "ids", SLICE_ROWS, parts), _slices(queries, "asked", ASKED_ROWS, parts)
+
+    def at(values: list[int]) -> Column:
+        return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("part") + 1)
+
+    def all_of(values: list[int]) -> Column:
+        return F.explode(F.sequence(F.lit(0), at(values) - 1))
+
+    def own(ids: str, values: list[int]) -> Column:
+        return F.pmod(F.xxhash64(ids), at(values)).cast("int")
+
+    candidates = candidates.withColumn("slice", own("ids", blocks)).withColumn("asked_slice", all_of(asked))
+    queries = queries.withColumn("asked_slice", own("asked", asked)).withColumn("slice", all_of(blocks))
+    return candidates.join(queries, ["part", "slice", "asked_slice"]), max(blocks)
+
+
 def nearest_neighbours(
     vectors: DataFrame,
     is_query: Column,
@@ -293,9 +321,10 @@ def nearest_neighbours(
     queries = asking.mapInArrow(_route(model, visits), routed)
     queries = _packed(queries.select(F.explode("parts").alias("part"), "id", "vec"))
     queries = queries.withColumnsRenamed({"ids": "asked", "data": "queries"})
+    paired, slices = _paired(candidates, queries, partitions)
     # a task joins the results of the blocks it has seen; few visits to a task would leave many rows
-    tasks = 1 + rows.where(is_query).count() * visits // TASK_VISITS
-    found = candidates.join(queries, "part").coalesce(tasks).mapInArrow(
+    tasks = 1 + rows.where(is_query).count() * visits * slices // TASK_VISITS
+    found = paired.coalesce(tasks).mapInArrow(
         _search(count), "query_id bigint, vec_id bigint, score double"
     )
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

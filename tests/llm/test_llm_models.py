@@ -156,6 +156,26 @@ def test_several_visits_and_blocks(spark, monkeypatch):
     assert hits / (10 * len(wanted)) >= 0.9
 
 
+def test_large_partitions_are_sliced(spark, monkeypatch):
+    for name, value in (("BLOCK", 16), ("SLICE_ROWS", 128), ("ASKED_ROWS", 32)):
+        monkeypatch.setattr(neighbours, name, value, raising=False)
+    rnd = np.random.default_rng(7)
+    data = rnd.normal(size=(1500, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id bigint, embedding array<double>")
+    groups, paired = [], neighbours._paired
+
+    def seen(*args):
+        out = paired(*args)
+        groups.extend(out[0].groupBy("part", "slice", "asked_slice").count().collect())
+        return out
+
+    monkeypatch.setattr(neighbours, "_paired", seen)
+    got = _found(neighbours.nearest_neighbours(df, F.col("id") % 10 == 0, count=10, partitions=1).collect())
+    wanted = plain_neighbours(list(enumerate(data)), range(0, 1500, 10), 10)
+    assert {q: [i for i, _ in x] for q, x in got.items()} == {q: [i for i, _ in x] for q, x in wanted.items()}
+    assert len(groups) > 30 and max(g["count"] for g in groups) < sum(g["count"] for g in groups) / 10
+
+
 def test_vec_ids_that_repeat_hide_no_others(spark):
     rows = [(0, [1.0, 0.5])] * 30 + [(i, [1.0, 0.5]) for i in range(1, 6)] + [(50, [0.5, 0.5])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
