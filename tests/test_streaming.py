@@ -14,7 +14,7 @@ from rillwatch.operators import (
     traffic_aggregate,
     warning_records,
 )
-from rillwatch.plans import derived
+from rillwatch.plans import catalogue, derived
 from rillwatch.plans.chains import stream_flows_to_warnings
 from rillwatch.schemas import AGGREGATED_TOPIC, PACKETS, RAW_TOPIC, WARNINGS_TOPIC
 from rillwatch.session import cut_lineage, new_folder
@@ -298,3 +298,17 @@ def test_kafka_rows_have_topic_key_and_value(spark, packets):
 def test_state_folders_lie_in_the_shared_folder(spark):
     assert new_folder(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
     assert os.path.isdir(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_restarted_stream_reads_several_files_a_batch(spark, sf_dir, monkeypatch):
+    seen, read = [], catalogue.read_table_stream
+
+    def counted(session, folder, layout, **options):
+        names = session.read.parquet(folder).select(F.input_file_name().alias("f")).distinct().count()
+        seen.append((names, int(options["maxFilesPerTrigger"])))
+        return read(session, folder, layout, **options)
+
+    monkeypatch.setattr(catalogue, "read_table_stream", counted)
+    assert catalogue.q_stream_restart(spark, sf_dir).count()
+    files = catalogue.STREAM_PARTITIONS
+    assert seen == [(2 * files, files), (4 * files, files)]
