@@ -1,5 +1,6 @@
 """Shared helpers: stored tables, row identity, gapless numbers, texts as byte arrays."""
 
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -14,6 +15,10 @@ from ..session import new_folder
 WHITE = b" \t\n\x0b\x0c\r"
 # bytes of text that one step of a vectorised function takes at most (a longer text is one step)
 STEP_BYTES = 1_000_000
+# words of lower-cased texts: digits, letters a-z and characters beyond ASCII
+ALNUM_WORD = rb"[0-9a-z\x80-\xff]+"
+_BREAK = re.compile(rb"[^0-9a-z\x80-\xff]")
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 NO_ID = -(2**63)
 
 
@@ -96,3 +101,18 @@ def raw_texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def byte_texts(column: pa.Array) -> list[bytes]:
     """The texts as bytes; a null is empty."""
     return pc.fill_null(column.cast(pa.large_binary()), b"").to_pylist()
+
+
+def lower_ascii(text: bytes) -> bytes:
+    """The text with A-Z lower-cased and nothing else."""
+    return text.translate(_LOWER)
+
+
+def word_chunks(text: bytes, words: re.Pattern, size: int = STEP_BYTES) -> Iterator[list[bytes]]:
+    """Words of a lower-cased text in order, those of about ``size`` bytes of text at a time."""
+    at = 0
+    while at < len(text):
+        end = _BREAK.search(text, at + size) if at + size < len(text) else None
+        stop = end.start() if end else len(text)
+        yield words.findall(text, at, stop)
+        at = stop

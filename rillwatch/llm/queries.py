@@ -4,10 +4,12 @@ import corpus_pipeline
 
 from .decontaminate import op8_decontamination
 from .language import op5_language_id
+from .licenses import license_sql, op11_license_scan
 from .line_dedup import op1_line_dedup
 from .neighbours import op2_nearest_neighbours
 from .pieces import op9_sentencepiece
 from .quality import op10_quality
+from .resampling import RESAMPLING_SQL, op13_importance_resampling
 from .sharding import op4_sharding
 from .shingle_join import op7_jaccard_join
 from .token_files import op6_token_files
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_quality": op10_quality,
+    "op11_license_scan": op11_license_scan,
+    "op13_importance_resampling": op13_importance_resampling,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -92,4 +96,6 @@ reached AS (
 SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id
 FROM reached LEFT JOIN sizes USING (doc_id) GROUP BY doc_id
 """,
+    "op11_license_scan": license_sql(),
+    "op13_importance_resampling": RESAMPLING_SQL,
 }
