@@ -12,6 +12,7 @@ from .quality import op10_quality
 from .resampling import RESAMPLING_SQL, op13_importance_resampling
 from .sharding import op4_sharding
 from .shingle_join import op7_jaccard_join
+from .spelling import SPELLING_SQL, op12_spelling_variants
 from .token_files import op6_token_files
 from .wordpieces import op3_token_counts
 
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_quality": op10_quality,
     "op11_license_scan": op11_license_scan,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_importance_resampling": op13_importance_resampling,
     "pipeline": corpus_pipeline.run,
 }
@@ -97,5 +99,6 @@ SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_
 FROM reached LEFT JOIN sizes USING (doc_id) GROUP BY doc_id
 """,
     "op11_license_scan": license_sql(),
+    "op12_spelling_variants": SPELLING_SQL,
     "op13_importance_resampling": RESAMPLING_SQL,
 }
