@@ -8,8 +8,8 @@ back exactly.
 No piece goes on behind a mark that follows another character, so a text's best split is made up of
 those of its words; each distinct word is split once per task, all new words of a step together.
 
-A model of the merge kind stores ranks instead of log scores. ``piece_scores`` turns a rank r into the
-logarithm of a Zipf share, -ln(r + 3); models of the unigram kind are used as they are.
+A model of the merge kind stores ranks instead of log scores. With ``merge_ranks`` a rank r becomes the
+logarithm of a Zipf share, -ln(r + 3); scores of a model of the unigram kind are used as they are.
 
 Defined cases: null text has no ids and decodes to null; empty text has no ids and decodes to empty.
 """
@@ -21,24 +21,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import byte_texts, steps, table
-from .encoders import WordMemo
+from .encoders import WordMemo, joined
 from .trie import ROOT, DoubleArrayTrie
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 
 
-def piece_scores(scores: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
-    """Log scores of the ordinary pieces: given, or from ranks where all are whole numbers."""
-    known = scores[ordinary]
-    if len(known) and (known == np.floor(known)).all() and known.min() < -1000:
-        return np.where(ordinary, -np.log(np.maximum(-scores, 0) + 3.0), 0.0)
+def piece_scores(scores: np.ndarray, ordinary: np.ndarray, merge_ranks: bool) -> np.ndarray:
+    """Log scores of the ordinary pieces: given, or from the ranks of a model of the merge kind."""
+    if merge_ranks:
+        scores = -np.log(np.maximum(-scores, 0) + 3.0)
     return np.where(ordinary, scores, 0.0)
 
 
-def read_model(path: str) -> dict:
+def read_model(path: str, merge_ranks: bool = True) -> dict:
     """Pieces, log scores and byte pieces of a model file: plain values of bounded size."""
     import sentencepiece
 
@@ -57,7 +57,7 @@ def read_model(path: str) -> dict:
     return {
         "pieces": pieces,
         "ordinary": ordinary,
-        "scores": piece_scores(scores, ordinary),
+        "scores": piece_scores(scores, ordinary, merge_ranks),
         "byte_ids": np.array([bytes_at[b] for b in range(256)], np.int32),
     }
 
@@ -169,8 +169,7 @@ class PieceModel:
         mark = MARK.encode()
         cut = [self.words.findall(b" " + t.replace(mark, b" ")) if t else [] for t in texts]
         self.memo.trim()
-        self.memo.learn(w for some in cut for w in some)
-        return [b"".join(map(self.memo.__getitem__, some)) for some in cut]
+        return joined(self.memo.look_up([w for some in cut for w in some]), map(len, cut))
 
     def decode(self, ids) -> bytes:
         """Bytes of a list of ids, without the space that encoding puts first."""
@@ -183,23 +182,36 @@ def _shared_model(shared: dict) -> PieceModel:
     return shared["ready"]
 
 
-def encode_pieces(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def _encoded(pieces: PieceModel, column: pa.Array) -> pa.Array:
+    """Lists of ids of the texts of one step."""
+    found = pieces.encode(byte_texts(column))
+    limits = np.concatenate([[0], np.cumsum([len(f) // pieces.width for f in found])])
+    values = np.frombuffer(b"".join(found), pieces.kind).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(limits, pa.int32()), pa.array(values), mask=column.is_null())
+
+
+def _decoded(pieces: PieceModel, column: pa.ListArray) -> pa.Array:
+    """Texts of lists of ids."""
+    out = []
+    for row in range(len(column)):
+        found = column[row]
+        out.append(
+            pieces.decode(found.values.to_numpy().tolist()).decode("utf-8", "replace") if found.is_valid else None
+        )
+    return pa.array(out, pa.string())
+
+
+def encode_pieces(
+    docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids", merge_ranks: bool = True
+) -> DataFrame:
     """Add the array ``ids`` of piece ids of ``text``; the model file is read on the driver."""
-    model = docs.sparkSession.sparkContext.broadcast({"model": read_model(model_path)})
+    model = docs.sparkSession.sparkContext.broadcast({"model": read_model(model_path, merge_ranks)})
 
     @F.arrow_udf("array<int>")
     def encoded(column: pa.Array) -> pa.Array:
         pieces = _shared_model(model.value)
-        parts = []
-        for batch in steps([pa.RecordBatch.from_arrays([column], ["text"])]):
-            found = pieces.encode(byte_texts(batch.column("text")))
-            limits = np.concatenate([[0], np.cumsum([len(f) // pieces.width for f in found])])
-            values = np.frombuffer(b"".join(found), pieces.kind).astype(np.int32)
-            parts.append(
-                pa.ListArray.from_arrays(
-                    pa.array(limits, pa.int32()), pa.array(values), mask=batch.column("text").is_null()
-                )
-            )
+        cut = steps([pa.RecordBatch.from_arrays([column], ["text"])])
+        parts = [_encoded(pieces, batch.column("text")) for batch in cut]
         return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
     return docs.withColumn(ids, encoded(F.col(text)))
@@ -211,20 +223,30 @@ def decode_pieces(rows: DataFrame, model_path: str, ids: str = "ids", text: str
 
     @F.arrow_udf("string")
     def decoded(column: pa.Array) -> pa.Array:
-        pieces = _shared_model(model.value)
-        out = []
-        for row in range(len(column)):
-            found = column[row]
-            out.append(
-                pieces.decode(found.values.to_numpy().tolist()).decode("utf-8", "replace")
-                if found.is_valid
-                else None
-            )
-        return pa.array(out, pa.string())
+        return _decoded(_shared_model(model.value), column)
 
     return rows.withColumn(text, decoded(F.col(ids)))
 
 
+def pieces_and_back(docs: DataFrame, model_path: str, merge_ranks: bool = True) -> DataFrame:
+    """``docs`` with ``ids``, the piece ids of ``text``, and ``decoded``, the text of these ids.
+
+    One step of one worker does both. Two column functions in a row would be one Python node, which
+    computes the ids once for the column and once more for the text read back from them.
+    """
+    model = docs.sparkSession.sparkContext.broadcast({"model": read_model(model_path, merge_ranks)})
+    names = [*docs.columns, "ids", "decoded"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = _shared_model(model.value)
+        for batch in steps(batches):
+            ids = _encoded(pieces, batch.column("text"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids, _decoded(pieces, ids)], names)
+
+    schema = StructType([*docs.schema.fields, *StructType.fromDDL("ids array<int>, decoded string").fields])
+    return docs.mapInArrow(run, schema)
+
+
 def model_file(model_path: str | None = None) -> str:
     """The given model file or the public one with byte pieces."""
     if model_path is None:
@@ -236,8 +258,7 @@ def model_file(model_path: str | None = None) -> str:
 
 def piece_round_trip(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, number and checksum of the ids of each text, and whether they decode to the text."""
-    rows = docs.select("doc_id", F.col("text").alias("text"))
-    read = decode_pieces(encode_pieces(rows, model_path), model_path)
+    read = pieces_and_back(docs.select("doc_id", "text"), model_path)
     plain = F.replace(F.col("text"), F.lit(MARK), F.lit(" "))
     return read.select(
         "doc_id",
