@@ -18,8 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.once import with_once
 from .common import WHITE, byte_texts, doc_key, stored, steps, table, text_key
 
+_WORD = r"[^\x20\x09-\x0D]"
 MIN_CHARS = 10
 DROP, PENDING, EDGE = 0, 1, 2
 _LINES = "h1 bigint, h2 bigint, doc bigint, text_hash bigint, pos int"
@@ -206,12 +208,18 @@ def apply_keep_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     return joined.select("row", keep_lines(F.col("row.text"), F.col("keep")).alias("kept"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, drop_emptied: bool = False) -> DataFrame:
     """``docs`` with their repeated lines taken out of ``text``; null text becomes empty.
 
-    ``n_chars``, where there is such a column, is counted anew.
+    ``n_chars``, where there is such a column, is counted anew. With ``drop_emptied`` documents that lost
+    their last word go; those that never had one stay.
     """
     kept = apply_keep_bitmaps(docs, line_keep_bitmaps(docs, min_chars))
+    if drop_emptied:
+        # a filter on the function's result would cut the lines of every text a second time
+        once = with_once(kept.select("row", F.col("kept").alias("_kept")), F.col("_kept").alias("kept"))
+        before, after = F.coalesce("row.text", F.lit("")), F.col("kept.text")
+        kept = once.where(~before.rlike(_WORD) | after.rlike(_WORD))
     columns = []
     for name in docs.columns:
         if name == "text":
