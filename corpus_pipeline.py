@@ -1,7 +1,7 @@
 """Cleaning a corpus in five stages, each on all that the stage before kept.
 
 1. language id: rejects texts without letters or without a language that the model is sure of;
-2. line dedup: takes out lines that earlier documents have;
+2. line dedup: takes out lines that earlier documents have, and documents all whose words lay in them;
 3. n-gram Jaccard join: keeps the smallest doc_id of each group of near copies (five-word shingles,
    similarity 0.8 or more);
 4. decontamination: rejects documents of which one word in twenty or more lies in a benchmark passage;
@@ -17,7 +17,7 @@ from rillwatch.llm.common import fold, stored, table
 from rillwatch.llm.decontaminate import decontaminate
 from rillwatch.llm.language import fit_language_model, keep_known_languages
 from rillwatch.llm.line_dedup import dedup_lines
-from rillwatch.llm.pieces import MARK, decode_pieces, encode_pieces, model_file
+from rillwatch.llm.pieces import MARK, model_file, pieces_and_back
 from rillwatch.llm.shingle_join import keep_one_of_each_group
 
 
@@ -26,7 +26,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return dedup_lines(docs)
+    return dedup_lines(docs, drop_emptied=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +39,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids, n_tokens and round_trip of each document."""
-    path = model_file()
-    rows = decode_pieces(encode_pieces(docs.select("doc_id", "lang", "source", "text"), path), path)
+    rows = pieces_and_back(docs.select("doc_id", "lang", "source", "text"), model_file())
     plain = F.replace(F.col("text"), F.lit(MARK), F.lit(" "))
     return rows.select(
         "doc_id",
