@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import flow_key
 from ..functions.once import with_once
 from ..schemas import DIRECTIONS, FLOWS, PROTOCOLS, TIMESTAMP_PATTERN
+from .aggregate import average_packet_size
 
 # fixed values: keys of the records, with the column a microflow key becomes
 MICROFLOW_TEXTS = ("src_ip", "dst_ip", "protocol", "dir")
@@ -195,13 +196,41 @@ def _found(path: str, column: str | None = None) -> Column:
 def parse_flows(raw: DataFrame, value: str = "value", event_time: str = "timestamp") -> DataFrame:
     """Flows of the valid microflow records in ``raw``; other records are dropped."""
     read, valid = _read_flows(raw, value)
-    fields = read.where(valid).select(
+    return _flows(read.where(valid).select(*_flow_fields(), F.col(event_time).alias("timestamp")))
+
+
+def _flow_fields() -> list[Column]:
+    return [
         *[_found(name).alias(name) for name in (*MICROFLOW_TEXTS, "mean_iat_us")],
         *[_found(path, column).alias(column) for path, column in FLOW_COUNTS.items()],
-        F.col(event_time).alias("timestamp"),
-        F.current_timestamp().alias("ingest_time"),
-    )
-    return fields.withColumn("flow_key", flow_key()).select(*FLOWS.names)
+    ]
+
+
+def _flows(fields: DataFrame) -> DataFrame:
+    complete = {"ingest_time": F.current_timestamp(), "flow_key": flow_key()}
+    return fields.withColumns(complete).select(*FLOWS.names)
+
+
+def judge_flows(raw: DataFrame, value: str = "value") -> DataFrame:
+    """``raw`` with ``accepted``, the fields of each valid microflow record; NULL for the other records.
+
+    Both halves come from one parse of each record. Store the result, or take it from one micro-batch, and
+    split it with :func:`accepted_flows` and :func:`rejected_records`.
+    """
+    read, valid = _read_flows(raw, value)
+    accepted = F.when(valid, F.struct(*_flow_fields()))
+    return with_once(read, accepted.alias("accepted")).drop("_typed", "_usual", "_other")
+
+
+def accepted_flows(judged: DataFrame, event_time: str = "timestamp") -> DataFrame:
+    """The flows in the result of :func:`judge_flows`, as :func:`parse_flows` returns them."""
+    rows = judged.where(F.col("accepted").isNotNull())
+    return _flows(rows.select("accepted.*", F.col(event_time).alias("timestamp")))
+
+
+def rejected_records(judged: DataFrame) -> DataFrame:
+    """The records that were not accepted, unchanged."""
+    return judged.where(F.col("accepted").isNull()).drop("accepted")
 
 
 def parse_rejects(raw: DataFrame, value: str = "value") -> DataFrame:
@@ -249,17 +278,19 @@ def parse_aggregates(raw: DataFrame, value: str = "value", key: str | None = "ke
     unreadable timestamp rejects the record. Records written without window bounds take
     ``timestamp_start`` as their window start.
     """
-    packets = F.col("packets_inbound") + F.col("packets_outbound")
-    volume = F.col("bytes_inbound") + F.col("bytes_outbound")
-    return (
-        with_once(raw, _document(F.col(value), _aggregate).alias("_aggregate"))
-        .where(F.col("_aggregate").isNotNull())
-        .select((F.col(key) if key else F.lit(None).cast("string")).alias("key"), "_aggregate.*")
-        .withColumn(
-            "average_packet_size",
-            F.when(packets == 0, F.lit(0.0)).otherwise(volume.cast("double") / packets),
-        )
-    )
+    return accepted_aggregates(judge_aggregates(raw, value), key)
+
+
+def judge_aggregates(raw: DataFrame, value: str = "value") -> DataFrame:
+    """``raw`` with ``accepted``, the fields of each readable aggregate; NULL for the other records."""
+    return with_once(raw, _document(F.col(value), _aggregate).alias("accepted"))
+
+
+def accepted_aggregates(judged: DataFrame, key: str | None = "key") -> DataFrame:
+    """The aggregates in the result of :func:`judge_aggregates`."""
+    given = F.col(key) if key else F.lit(None).cast("string")
+    read = judged.where(F.col("accepted").isNotNull()).select(given.alias("key"), "accepted.*")
+    return read.withColumn("average_packet_size", average_packet_size())
 
 
 def _warning(doc: Column) -> Column:

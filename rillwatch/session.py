@@ -56,8 +56,54 @@ def remove_folders(spark: SparkSession) -> None:
     Tables in them can't be read any more, so call it once results are written elsewhere.
     """
     while _folders:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_folders.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove_folder(spark, _folders.pop())
+
+
+def _located(spark: SparkSession, path: str):
+    """A path and its file system, as Spark itself sees them."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    place, system = _located(spark, path)
+    system.delete(place, True)
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    place, system = _located(spark, path)
+    return system.exists(place)
+
+
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder; none if it does not exist."""
+    place, system = _located(spark, path)
+    if not system.exists(place):
+        return []
+    return sorted(s.getPath().getName() for s in system.listStatus(place) if s.isDirectory())
+
+
+def publish(df: DataFrame, path: str) -> bool:
+    """Write ``df`` as the table ``path`` in one step: readers see all of it or none.
+
+    The table is written beside its place and then renamed. A table that is already there was finished by
+    an earlier run and stays as it is; the result says whether this call wrote it. One process at a time
+    may publish a path.
+    """
+    spark = df.sparkSession
+    if folder_exists(spark, path):
+        return False
+    parent, name = path.rstrip("/").rsplit("/", 1)
+    staged = f"{parent}/_staged-{name}-{uuid.uuid4().hex}"
+    try:
+        df.write.parquet(staged)
+    except Exception:
+        remove_folder(spark, staged)
+        raise
+    source, system = _located(spark, staged)
+    if not system.rename(source, _located(spark, path)[0]):
+        raise OSError(f"{staged} could not be renamed to {path}")
+    return True
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
