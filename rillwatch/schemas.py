@@ -142,3 +142,6 @@ WARNINGS = layout(
 TOPIC_ROWS = layout(
     key=_TEXT, value=_TEXT, topic=_TEXT, partition=_INT, offset=_LONG, timestamp=_TIME
 )
+
+# Header of a Kafka record that holds its event time, as microseconds since 1970 in decimal text.
+EVENT_TIME_HEADER = "event-time-us"

@@ -2,6 +2,7 @@
 
 from .sinks import deliver_alerts, each_batch, stream_topic, write_topic
 from .topics import (
+    in_file_order,
     read_aggregates,
     read_flows,
     read_frames,
@@ -13,6 +14,7 @@ from .topics import (
 __all__ = [
     "deliver_alerts",
     "each_batch",
+    "in_file_order",
     "read_aggregates",
     "read_flows",
     "read_frames",

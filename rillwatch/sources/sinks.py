@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.parse import parse_warnings
 from ..operators.route import alert_messages
-from ..schemas import TOPIC_ROWS
+from ..schemas import EVENT_TIME_HEADER, TOPIC_ROWS
 from ..session import new_folder, state_partitions
 
 
@@ -28,21 +28,39 @@ def _topic_rows(records: DataFrame, topic: str | None) -> DataFrame:
     return records.select(*[column(f.name, f.dataType.simpleString()) for f in TOPIC_ROWS])
 
 
-def _kafka_rows(records: DataFrame, topic: str | None) -> DataFrame:
+def _kafka_rows(records: DataFrame, topic: str | None, event_time: bool = False) -> DataFrame:
+    """Rows of the Kafka writer; with ``event_time`` the record's ``timestamp`` travels as a header.
+
+    Kafka gives a record the time at which it was sent. A consumer that counts in event time asks for the
+    header (``read_topic(..., event_time=True)``).
+    """
     target = F.lit(topic) if topic is not None else F.col("topic")
-    return records.select(
+    columns = [
         F.col("key").cast("string").alias("key"),
         F.col("value").cast("string").alias("value"),
         target.alias("topic"),
-    )
+    ]
+    if event_time:
+        micros = F.unix_micros(F.col("timestamp").cast("timestamp")).cast("string").cast("binary")
+        header = F.struct(F.lit(EVENT_TIME_HEADER).alias("key"), micros.alias("value"))
+        columns.append(F.when(F.col("timestamp").isNotNull(), F.array(header)).alias("headers"))
+    return records.select(*columns)
 
 
 def write_topic(
-    records: DataFrame, topic: str | None = None, fmt: str = "kafka", path: str | None = None, **options: str
+    records: DataFrame,
+    topic: str | None = None,
+    fmt: str = "kafka",
+    path: str | None = None,
+    event_time: bool = False,
+    **options: str,
 ) -> None:
-    """Append ``records`` (key, value and, unless ``topic`` is given, topic) to their topics."""
+    """Append ``records`` (key, value and, unless ``topic`` is given, topic) to their topics.
+
+    ``event_time`` sends the column ``timestamp`` along to Kafka; file topics keep it anyway.
+    """
     if fmt == "kafka":
-        _kafka_rows(records, topic).write.format("kafka").options(**options).save()
+        _kafka_rows(records, topic, event_time).write.format("kafka").options(**options).save()
     else:
         writer = _topic_rows(records, topic).write.format(fmt).options(**options)
         writer.partitionBy("topic").mode("append").save(path)
@@ -58,9 +76,10 @@ def stream_topic(
     available_now: bool = False,
     interval: str = "10 seconds",
     partitions: int | None = None,
+    event_time: bool = False,
     **options: str,
 ) -> StreamingQuery:
-    """Start appending a stream of records to their topics.
+    """Start appending a stream of records to their topics, to Kafka with their ``event_time`` if wanted.
 
     ``checkpoint`` is what makes the stream restartable, so a lasting stream needs one.
     ``available_now`` works off what is there and stops; it may do without. ``partitions`` is the
@@ -68,7 +87,7 @@ def stream_topic(
     """
     spark = records.sparkSession
     checkpoint = _checkpoint(spark, checkpoint, available_now)
-    rows = _kafka_rows(records, topic) if fmt == "kafka" else _topic_rows(records, topic)
+    rows = _kafka_rows(records, topic, event_time) if fmt == "kafka" else _topic_rows(records, topic)
     writer = (
         rows.writeStream.format(fmt)
         .outputMode("append")

@@ -5,24 +5,60 @@ options; needs the connector package on the cluster) or a folder of files with t
 key, value, topic, partition, offset and timestamp, written by :mod:`rillwatch.sources.sinks`.
 """
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.parse import parse_aggregates, parse_flows, parse_warnings
-from ..schemas import AGGREGATED_TOPIC, FRAMES, PACKETS, RAW_TOPIC, TOPIC_ROWS, WARNINGS_TOPIC
-from ..session import new_folder
+from ..schemas import AGGREGATED_TOPIC, EVENT_TIME_HEADER, FRAMES, PACKETS, RAW_TOPIC, TOPIC_ROWS, WARNINGS_TOPIC
+from ..session import folder_exists, new_folder, publish
+
+# where a record lies in a file topic
+PLACE = ("_modified", "_file", "_row")
 
 
 def _files_at_start(spark: SparkSession, fmt: str, path: str, position: str) -> DataFrame:
-    """Files of a topic when a stream with this position first started; later starts read the same list."""
-    try:
-        return spark.read.parquet(position)
-    except AnalysisException:
+    """Files of a topic when a stream with this position first started; later starts read the same list.
+
+    The list appears under its name in one step, complete. What stands there and can't be read is an error:
+    taking it for a first start would skip what was written while the stream was down.
+    """
+    if not folder_exists(spark, position):
         rows = spark.read.schema(TOPIC_ROWS).format(fmt).load(path)
-        files = rows.select(F.col("_metadata.file_path").alias("_file")).distinct()
-        files.write.mode("overwrite").parquet(position)
-        return spark.read.parquet(position)
+        publish(rows.select(F.col("_metadata.file_path").alias("_file")).distinct(), position)
+    elif not folder_exists(spark, f"{position.rstrip('/')}/_SUCCESS"):
+        raise ValueError(f"the starting place {position} is incomplete: restore it, or remove it to start anew")
+    return spark.read.schema("_file STRING").parquet(position)
+
+
+def _kafka_records(rows: DataFrame, event_time: bool) -> DataFrame:
+    """Rows of the Kafka reader to topic records."""
+    when = F.col("timestamp")
+    if event_time:
+        named = F.filter("headers", lambda h: h["key"] == EVENT_TIME_HEADER)
+        micros = F.get(named, F.lit(0))["value"].cast("string").try_cast("bigint")
+        when = F.coalesce(F.timestamp_micros(micros), when)
+    return rows.select(
+        F.col("key").cast("string").alias("key"),
+        F.col("value").cast("string").alias("value"),
+        "topic",
+        "partition",
+        "offset",
+        when.alias("timestamp"),
+    )
+
+
+def in_file_order(records: DataFrame) -> DataFrame:
+    """Records with the place columns of ``read_topic(..., places=True)`` to records with an ``offset``.
+
+    Files count in the order in which they were written (by name where that time is equal), rows as they
+    lie in their file. A given offset stays. Pass a stored table or a batch read: it is read twice.
+    """
+    files = records.select("_modified", "_file").distinct()
+    # one row per file
+    numbered = files.withColumn("_number", F.row_number().over(Window.orderBy("_modified", "_file")))
+    placed = records.join(numbered.select("_file", "_number"), "_file", "left")
+    sequence = F.shiftleft(F.col("_number").cast("bigint"), 32) + F.col("_row")
+    return placed.withColumn("offset", F.coalesce("offset", sequence)).drop(*PLACE, "_number")
 
 
 def read_topic(
@@ -33,10 +69,18 @@ def read_topic(
     stream: bool = False,
     starting: str = "earliest",
     position: str | None = None,
+    places: bool = False,
+    event_time: bool = False,
     **options: str,
 ) -> DataFrame:
     """Records of a topic with text key and value.
 
+    With ``event_time`` the ``timestamp`` of a Kafka record is the event time that its writer sent along,
+    where it did, and not the time of sending; file topics have no other.
+
+    File topics that were written without offsets still have an order: with ``places`` each record of a
+    Parquet topic has the time and name of its file and its row in it, for :func:`in_file_order`.
+
     ``starting="latest"`` skips what the topic holds when the stream first starts and nothing that is
     written later, whatever its time. Kafka keeps that place in the stream's checkpoint; for files it is
     the list of the files then there, kept in the folder ``position``. Pass the same folder at a
@@ -48,23 +92,18 @@ def read_topic(
         raise ValueError("a batch read has no later records: use starting='earliest'")
     reader = (spark.readStream if stream else spark.read).format(fmt).options(**options)
     if fmt == "kafka":
-        records = reader.option("subscribe", topic).option("startingOffsets", starting).load()
-        return records.select(
-            F.col("key").cast("string").alias("key"),
-            F.col("value").cast("string").alias("value"),
-            "topic",
-            "partition",
-            "offset",
-            "timestamp",
-        )
+        reader = reader.option("subscribe", topic).option("startingOffsets", starting)
+        return _kafka_records(reader.option("includeHeaders", str(event_time).lower()).load(), event_time)
     if path is None:
         raise ValueError("a file topic needs its path")
     records = reader.schema(TOPIC_ROWS).load(path).where(F.col("topic") == topic)
+    found = dict(zip(PLACE, ("file_modification_time", "file_path", "row_index")))
+    wanted = [name for name in PLACE if places or (starting == "latest" and name == "_file")]
+    named = records.select(*TOPIC_ROWS.names, *[F.col(f"_metadata.{found[n]}").alias(n) for n in wanted])
     if starting == "latest":
         known = _files_at_start(spark, fmt, path, position or new_folder(spark, "position"))
-        named = records.select(*TOPIC_ROWS.names, F.col("_metadata.file_path").alias("_file"))
-        records = named.join(known, "_file", "left_anti").select(*TOPIC_ROWS.names)
-    return records
+        named = named.join(known, "_file", "left_anti")
+    return named.select(*TOPIC_ROWS.names, *(PLACE if places else ()))
 
 
 def read_flows(spark: SparkSession, **source) -> DataFrame:
