@@ -19,7 +19,17 @@ from .microflow import (
     microflow_records,
     microflows_as_flows,
 )
-from .parse import parse_aggregates, parse_flows, parse_rejects, parse_warnings
+from .parse import (
+    accepted_aggregates,
+    accepted_flows,
+    judge_aggregates,
+    judge_flows,
+    parse_aggregates,
+    parse_flows,
+    parse_rejects,
+    parse_warnings,
+    rejected_records,
+)
 from .route import (
     alert_messages,
     branch_by_prefix,
@@ -36,8 +46,11 @@ from .serialize import (
     warning_json,
     warning_records,
 )
+from .sketch import estimated_flows, flow_sketches, union_sketches, within_error
 
 __all__ = [
+    "accepted_aggregates",
+    "accepted_flows",
     "aggregate_json",
     "aggregate_records",
     "alert_messages",
@@ -47,10 +60,14 @@ __all__ = [
     "closed_windows",
     "decode_frames",
     "drop_late",
+    "estimated_flows",
     "expanding_stats",
     "flow_json",
     "flow_report",
     "flow_rows",
+    "flow_sketches",
+    "judge_aggregates",
+    "judge_flows",
     "limit_alerts",
     "microflow_aggregate",
     "microflow_json",
@@ -62,6 +79,7 @@ __all__ = [
     "parse_rejects",
     "parse_warnings",
     "read_flow_json",
+    "rejected_records",
     "rolling_anomalies",
     "rolling_means",
     "rolling_sample",
@@ -69,8 +87,10 @@ __all__ = [
     "split_metrics",
     "summary_records",
     "traffic_aggregate",
+    "union_sketches",
     "unpivot_metrics",
     "volume_rows",
     "warning_json",
     "warning_records",
+    "within_error",
 ]

@@ -25,10 +25,12 @@ from ..operators import (
     closed_windows,
     decode_frames,
     drop_late,
+    estimated_flows,
     expanding_stats,
     flow_json,
     flow_report,
     flow_rows,
+    flow_sketches,
     limit_alerts,
     microflow_aggregate,
     microflow_json,
@@ -46,16 +48,20 @@ from ..operators import (
     split_metrics,
     summary_records,
     traffic_aggregate,
+    union_sketches,
     unpivot_metrics,
     volume_rows,
     warning_json,
     warning_records,
+    within_error,
 )
 from ..schemas import (
     AGGREGATED_TOPIC,
     PACKETS,
     RAW_TOPIC,
+    FLOWS,
     SUMMARY_TOPICS,
+    TOPIC_ROWS,
     WARNINGS_TOPIC,
 )
 from ..session import configure, cut_lineage, new_folder
@@ -70,16 +76,25 @@ from ..sources import (
     write_topic,
 )
 from ..streaming import (
+    MetricsRecorder,
     aggregate_job,
+    alert_job,
     capture_job,
+    detector_state,
     drain,
+    last_windows,
     limit_job,
+    metric_totals,
+    on_time_job,
+    quarantine_job,
+    read_results,
     read_table_stream,
     split_job,
     stream_rolling_anomalies,
     view_job,
     watch_job,
 )
+from ..streaming.delivery import outcome_schema
 from . import derived
 from .derived import LOCAL_MASK, LOCAL_NET, TICK, WINDOW, events_table
 from .chains import frames_to_alerts, packets_to_warnings
@@ -286,6 +301,19 @@ def q_unique_flows(spark, sf_dir):
     return _unique(spark, sf_dir, "tuple")
 
 
+def q_unique_flows_sketch(spark, sf_dir):
+    """Whether the sketches of all windows, and their unions over days, are as exact as they claim."""
+    flows = cut_lineage(_flows(spark, sf_dir))
+    hours = cut_lineage(flow_sketches(flows, WINDOW))
+    checked = []
+    for name, length, sketches in (("hour", WINDOW, hours), ("day", "1 day", union_sketches(hours, "1 day"))):
+        exact = traffic_aggregate(flows, length).select("key", "window_start", "unique_flow_count")
+        ok = within_error(estimated_flows(), F.col("unique_flow_count"))
+        both = sketches.join(exact, ["key", "window_start"], "full")
+        checked.append(both.select(F.lit(name).alias("length"), "window_start", F.coalesce(ok, F.lit(False)).alias("ok")))
+    return ntz(checked[0].unionByName(checked[1]))
+
+
 def q_unique_flows_concat(spark, sf_dir):
     return _unique(spark, sf_dir, "concat")
 
@@ -515,6 +543,147 @@ def q_rolling_sample_extreme_numbers(spark, sf_dir):
     return ntz(rolling_sample(cut_lineage(traffic), chunk_windows=100))
 
 
+def _huge_counts(spark, sf_dir):
+    """Aggregates of which every fourth day has byte counts whose sum is beyond BIGINT."""
+    huge = F.day("window_start") % 4 == 0
+    counts = {n: F.when(huge, F.lit(5 * 10**18)).otherwise(F.col(n)) for n in ("bytes_inbound", "bytes_outbound")}
+    return _aggregates(spark, sf_dir).withColumns(counts)
+
+
+def q_aggregates_extreme_numbers(spark, sf_dir):
+    return ntz(parse_aggregates(aggregate_records(_huge_counts(spark, sf_dir))))
+
+
+def q_watch_extreme_numbers(spark, sf_dir):
+    """The watching application over such aggregates, and how many warnings of each metric it finds."""
+    topic, warnings = new_folder(spark, "topic"), new_folder(spark, "warnings")
+    records = aggregate_records(_huge_counts(spark, sf_dir))
+    write_topic(records, AGGREGATED_TOPIC, fmt="parquet", path=topic)
+    sink = {"fmt": "parquet", "path": warnings, "available_now": True, "partitions": STREAM_PARTITIONS}
+    watch_job(spark, {"fmt": "parquet", "path": topic}, sink).awaitTermination()
+    found = alert_messages(parse_warnings(read_topic(spark, WARNINGS_TOPIC, fmt="parquet", path=warnings)))
+    return found.groupBy("level", "title").agg(F.count("*").alias("alerts"))
+
+
+def q_stream_quarantine(spark, sf_dir):
+    """The raw topic parsed once by a stream, into flows and bad records."""
+    topic, good, bad, checkpoint = (new_folder(spark, n) for n in ("topic", "flows", "rejects", "stream"))
+    write_topic(_raw(spark, sf_dir), RAW_TOPIC, fmt="parquet", path=topic)
+    source = {"fmt": "parquet", "path": topic}
+    quarantine_job(spark, source, good, bad, checkpoint, available_now=True).awaitTermination()
+    flows, rejects = read_results(spark, good, FLOWS), read_results(spark, bad, TOPIC_ROWS)
+    accepted = flows.select(F.lit("accepted").alias("half"), F.col("flow_key").alias("text"), "timestamp")
+    return ntz(accepted.unionByName(rejects.select(F.lit("rejected").alias("half"), F.col("value").alias("text"), "timestamp")))
+
+
+def q_stream_drop_late(spark, sf_dir):
+    """Late records of the raw topic by its partitions, as a stream that is stopped after each quarter."""
+    topic, kept, checkpoint = (new_folder(spark, n) for n in ("topic", "kept", "stream"))
+    records = cut_lineage(derived.arrivals(events_table(spark, sf_dir)))
+    last = records.agg(F.max("arrival")).first()[0] or 0
+    quarter = F.least(F.lit(3), F.floor(F.col("arrival") * 4 / (last + 1)))
+    for part in range(4):
+        some = records.where(quarter == part).select(
+            F.col("pkt_seq").cast("string").alias("value"),
+            F.col("source_partition").alias("partition"),
+            (F.col("arrival") * 1_000_000 + F.col("pkt_seq")).alias("offset"),
+            "timestamp",
+        )
+        write_topic(some, RAW_TOPIC, fmt="parquet", path=topic)
+        on_time_job(
+            spark, {"fmt": "parquet", "path": topic}, kept, checkpoint, WINDOW, available_now=True
+        ).awaitTermination()
+    rows = read_results(spark, kept, TOPIC_ROWS)
+    return ntz(
+        rows.select(F.col("partition").alias("source_partition"), F.col("value").cast("bigint").alias("pkt_seq"), "timestamp")
+    )
+
+
+def _halves(spark, sf_dir):
+    """Stored aggregates of the first half of the month and of the rest."""
+    aggregates = _stored_aggregates(spark, sf_dir)
+    return aggregates.where(F.day("window_start") < 16), aggregates.where(F.day("window_start") >= 16)
+
+
+def q_stream_detection_from_history(spark, sf_dir):
+    """Detection of the first half in batch, handed over to a stream for the second."""
+    configure(spark)
+    earlier, later = _halves(spark, sf_dir)
+    folder = new_folder(spark, "aggregates")
+    later.write.parquet(folder)
+    stream = read_table_stream(spark, folder, later.schema)
+    found = _drained(stream_rolling_anomalies(stream, earlier=earlier))
+    return ntz(rolling_anomalies(earlier, chunk_windows=64).unionByName(found))
+
+
+def q_detector_state(spark, sf_dir):
+    """The values that a detecting stream holds at its end, read from its checkpoint."""
+    configure(spark)
+    aggregates = _stored_aggregates(spark, sf_dir)
+    folder, checkpoint = new_folder(spark, "aggregates"), new_folder(spark, "stream")
+    aggregates.write.parquet(folder)
+    stream = read_table_stream(spark, folder, aggregates.schema)
+    _drained(stream_rolling_anomalies(stream), checkpoint=checkpoint)
+    held = detector_state(spark, checkpoint)
+    return held.select("key", "metric", F.posexplode("values").alias("place", "value"))
+
+
+def q_alert_delivery_retry(spark, sf_dir):
+    """Alerts to a receiver that is down at first and never takes one of the texts."""
+    topic, outcomes, checkpoint = (new_folder(spark, n) for n in ("warnings", "outcomes", "stream"))
+    warnings = cut_lineage(_warnings(spark, sf_dir))
+    write_topic(warning_records(warnings), WARNINGS_TOPIC, fmt="parquet", path=topic)
+    refused = warnings.agg(F.min("descricao")).first()[0]
+    calls = []
+
+    def connect() -> None:
+        calls.append(1)
+        if len(calls) == 1:
+            raise ConnectionError("the receiver is down")
+
+    def send(alert: dict) -> None:
+        if alert["text"] == refused:
+            raise ValueError("refused")
+
+    source = {"fmt": "parquet", "path": topic, "starting": "earliest"}
+    schema = alert_job(
+        spark, source, send, outcomes, checkpoint, connect=connect, available_now=True, pause=0.1
+    )
+    found = read_results(spark, outcomes, outcome_schema(schema))
+    return found.select("level", "title", "text", F.col("error").isNotNull().alias("dead"))
+
+
+def q_stream_latest_summaries(spark, sf_dir):
+    """The splitting application from new records on: half of the aggregates written before it first starts,
+    the rest while it is down."""
+    topic, summaries, checkpoint = (new_folder(spark, n) for n in ("topic", "summaries", "stream"))
+    sink = {
+        "fmt": "parquet",
+        "path": summaries,
+        "checkpoint": checkpoint,
+        "available_now": True,
+        "partitions": STREAM_PARTITIONS,
+    }
+    for half in _halves(spark, sf_dir):
+        write_topic(aggregate_records(half), AGGREGATED_TOPIC, fmt="parquet", path=topic)
+        split_job(spark, {"fmt": "parquet", "path": topic}, sink).awaitTermination()
+    rows = spark.read.schema(TOPIC_ROWS).parquet(summaries)
+    return ntz(rows.select("topic", "key", F.col("value").cast("bigint").alias("value"), "timestamp"))
+
+
+def q_stream_stage_counts(spark, sf_dir):
+    """Rows parsed and emitted by the aggregating application, counted by Spark batch by batch."""
+    topic, out, metrics = (new_folder(spark, n) for n in ("topic", "aggregates", "metrics"))
+    write_topic(_raw(spark, sf_dir), RAW_TOPIC, fmt="parquet", path=topic)
+    sink = {"fmt": "parquet", "path": out, "available_now": True, "partitions": STREAM_PARTITIONS}
+    with MetricsRecorder(spark, metrics) as recorder:
+        query = aggregate_job(spark, {"fmt": "parquet", "path": topic}, sink, window=WINDOW)
+        query.awaitTermination()
+        recorder.wait(query)
+    totals = metric_totals(spark, metrics)
+    return totals.select("point", "metric", F.col("value").cast("bigint").alias("value"))
+
+
 def q_drop_late_topic(spark, sf_dir):
     """Late records of the raw topic, read back in the order of its offsets."""
     folder = new_folder(spark, "topic")

@@ -353,6 +353,17 @@ _EXTREME = RAW.replace(
 ).replace(_json_integer("bytes"), f"CAST(least(trunc({_json_number('bytes')}), 9.2e18) AS BIGINT)")
 _EXTREME_TRAFFIC = _EXTREME + RAW_TRAFFIC[len(RAW):]
 
+# aggregates with byte counts whose sum is beyond BIGINT
+_HUGE = AGGREGATES.replace("FROM totals)", "FROM huge)").replace(
+    "\naggregates AS (SELECT *,",
+    """
+huge AS (SELECT * REPLACE (
+  CASE WHEN day(window_start)%4=0 THEN 5000000000000000000 ELSE bytes_inbound END AS bytes_inbound,
+  CASE WHEN day(window_start)%4=0 THEN 5000000000000000000 ELSE bytes_outbound END AS bytes_outbound)
+FROM totals),
+aggregates AS (SELECT *,""",
+)
+
 _ALL_AGGREGATES = f"SELECT {_AGGREGATE_COLUMNS} FROM aggregates"
 _WARNING_COLUMNS = (
     "key, window_start, metric, current, samples, average, ratio, percent_above, severidade, descricao"
@@ -445,6 +456,12 @@ ORACLE: dict[str, str] = {
         _by_key("""'{"src_ip":"' || src_ip || '","protocol":"' || protocol || '"}'"""), _ALL_AGGREGATES
     ),
     "unique_flows": _with(AGGREGATES, "SELECT window_start, unique_flow_count FROM aggregates"),
+    "unique_flows_sketch": _with(
+        AGGREGATES,
+        """SELECT 'hour' AS length, window_start, true AS ok FROM aggregates
+        UNION ALL SELECT 'day', window_start, true
+        FROM (SELECT DISTINCT time_bucket(INTERVAL '1 day', window_start) AS window_start FROM aggregates)""",
+    ),
     "unique_flows_concat": _with(
         MICROFLOWS
         + ","
@@ -557,6 +574,42 @@ ORACLE: dict[str, str] = {
         f"""SELECT key, window_start, count(*) OVER w AS samples, {_SAMPLE} FROM aggregates
         WINDOW w AS (PARTITION BY key ORDER BY window_start ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)""",
     ),
+    "aggregates_extreme_numbers": _with(_HUGE, _ALL_AGGREGATES),
+    "watch_extreme_numbers": _with(
+        _HUGE + "," + WARNINGS_FROM_AGGREGATES,
+        f"""SELECT level, title, count(*) AS alerts FROM (SELECT {LEVEL} AS level, {TITLE} AS title FROM warnings)
+        GROUP BY ALL""",
+    ),
+    "stream_quarantine": _with(
+        RAW,
+        """SELECT 'accepted' AS half, flow_key AS text, "timestamp" FROM flows
+        UNION ALL SELECT 'rejected', value, "timestamp" FROM raw
+        WHERE "offset" NOT IN (SELECT "offset" FROM checked WHERE ok)""",
+    ),
+    "stream_drop_late": _late("PARTITION BY source_partition", 'source_partition, pkt_seq, "timestamp"'),
+    "stream_detection_from_history": _with(WARNINGS, f"SELECT {_WARNING_COLUMNS} FROM warnings"),
+    "detector_state": _with(
+        AGGREGATES + "," + LONG,
+        """SELECT key, metric, CAST(least(30, n) - back AS INTEGER) AS place, current AS value FROM (
+        SELECT *, row_number() OVER (PARTITION BY key, metric ORDER BY window_start DESC) AS back,
+          count(*) OVER (PARTITION BY key, metric) AS n FROM long) WHERE back <= 30""",
+    ),
+    "alert_delivery_retry": _with(
+        WARNINGS,
+        f"""SELECT {LEVEL} AS level, {TITLE} AS title, descricao AS text,
+        descricao = (SELECT min(descricao) FROM warnings) AS dead FROM warnings""",
+    ),
+    "stream_latest_summaries": _with(
+        AGGREGATES,
+        f"""SELECT topic, metric_key AS key, value, window_start AS "timestamp" FROM ({_SUMMARIES})
+        WHERE day(window_start) >= 16""",
+    ),
+    "stream_stage_counts": _with(
+        RAW_TRAFFIC,
+        """SELECT 'parsed' AS point, 'rows' AS metric, count(*) AS value FROM flows
+        UNION ALL SELECT 'emitted', 'rows', count(*) FROM aggregates
+        WHERE window_end <= (SELECT max("timestamp") FROM flows)""",
+    ),
     "drop_late_topic": _late("", 'pkt_seq, "timestamp"'),
     "aggregates_topic": _with(AGGREGATES, _ALL_AGGREGATES),
     "stored_frames": _with(DECODED, "SELECT * FROM decoded"),
