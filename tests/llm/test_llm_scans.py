@@ -214,6 +214,9 @@ def _spelled(count, seed):
                 word = word[:at] + (new if kind < 0.7 else "") + word[at + (kind > 0.3) :]
             words.append(word.upper() if rnd.random() < 0.1 else word)
         texts.append(rnd.choice([" ", ", ", "\n", "1", "–"]).join(words))
+    # a form that has a form itself, and a word with many near ones
+    texts += ["talomira " * 300 + "talomirx " * 25 + "talomixx " * 2] * 3
+    texts += [" ".join(f"talomir{c} talom{c}ra" for c in "bcdefgh")] * 2
     return texts
 
 
