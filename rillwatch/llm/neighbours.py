@@ -4,7 +4,7 @@ Fitted on a sample of at most SAMPLE vectors: its exact neighbour graph is split
 equal size by label propagation under quotas, and a small network learns to tell from a vector where its
 neighbours are. How many partitions a query visits is measured on the sample, so that COVER of its
 neighbours are found. All vectors are then indexed: each lies in its most probable partition, queries
-visit several, and the visited vectors are ranked again by the exact inner product.
+visit several, and the visited vectors are ranked again by the exact inner product, added up in one fixed order.
 
 A vector that occurs more often than neighbours are asked for is indexed with its smallest ids only (one
 more than asked for, each at most as often), as no others can be among the nearest. A partition is packed into blocks of bounded size, and queries
@@ -12,9 +12,12 @@ likewise; the blocks of a partition are dealt into slices of about SLICE_ROWS ve
 into slices of about ASKED_ROWS queries. Each slice meets each query slice of its partition in a group of
 its own, so the work of a group does not grow with the table.
 
-Defined cases: vectors that are null, of another length than most, zero, or hold null or non-finite
-components are neither queries nor candidates; with fewer candidates than asked for all are returned;
-vec_ids that repeat are each a candidate, and only rows with the query's own id are left out for it; rows without vec_id take no part.
+Defined cases: vectors that are null, zero, or hold null or non-finite components are neither queries nor
+candidates; vectors of different lengths are searched each among those of their length, where an id with
+several lengths has ranks of its own; with fewer candidates than asked for all are returned; products beyond
+the range of doubles are infinite and ranked as such; vec_ids that repeat are each a candidate, and only rows
+with the query's own id are left out for it; rows that ask with one vec_id and different vectors share one
+list of nearest; rows without vec_id take no part; extra columns are never read.
 """
 
 from collections.abc import Iterator
@@ -28,7 +31,9 @@ from .common import stored, table
 
 NEAREST = 20
 SAMPLE = 8192  # bound of the fitted sample
-PARTITIONS = 32
+PARTITIONS = 32  # at least; larger tables have one more for every PARTITION_ROWS vectors
+PARTITION_ROWS = 100_000
+SAMPLE_SHARE = 64  # sampled vectors that a partition is split off with, at least
 GRAPH_NEIGHBOURS = 20
 COVER = 0.97
 BLOCK = 2048
@@ -134,7 +139,7 @@ def _unit(data: np.ndarray) -> np.ndarray:
 
 def fit_router(data: np.ndarray, parts: int = PARTITIONS, cover: float = COVER) -> tuple[Router, int]:
     """Router and number of visits, learned from a sample of vectors."""
-    parts = max(1, min(parts, len(data) // 64))
+    parts = max(1, min(parts, len(data) // SAMPLE_SHARE))
     if parts == 1:
         width = data.shape[1] if data.ndim == 2 else 0
         return Router(np.zeros((width, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)), 1
@@ -211,6 +216,33 @@ def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, count: int):
     return query[on], ids[on], score[on]
 
 
+def inner_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner product of each pair of rows, added up in an order that the row's length alone decides.
+
+    Too large a product is infinite; where infinite parts of both signs meet it counts as -inf.
+    """
+    with np.errstate(over="ignore", invalid="ignore"):
+        out = (a * b).sum(axis=1)
+    return np.where(np.isnan(out), -np.inf, out)
+
+
+def nearest_of_block(asked: np.ndarray, queries: np.ndarray, ids: np.ndarray, data: np.ndarray, count: int):
+    """Rows of queries, rows of vectors and scores of at least the ``count`` nearest of each query."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        near = queries @ data.T
+        # a matrix product may round the same pair differently in another place
+        slack = 1e-13 * queries.shape[1] * np.linalg.norm(queries, axis=1) * np.linalg.norm(data, axis=1).max()
+        near[np.isnan(near)] = -np.inf
+        own = asked[:, None] == ids[None, :]
+        near[own] = -np.inf
+        keep = min(count, len(ids))
+        # all candidates as near as the last one kept, so that ties can go to smaller ids
+        least = np.partition(near, len(ids) - keep, axis=1)[:, len(ids) - keep]
+        least = np.where(np.isfinite(least) & np.isfinite(slack), least - slack, -np.inf)
+    query, at = np.nonzero((near >= least[:, None]) & ~own)
+    return query, at, inner_products(queries[query], data[at])
+
+
 def _search(count: int):
     """Pairs of a block of queries and a block of vectors to the nearest of each query in this task."""
 
@@ -232,13 +264,8 @@ def _search(count: int):
                     np.frombuffer(batch.column(n)[row].as_py(), np.float64).reshape(len(i), -1)
                     for n, i in (("queries", asked), ("data", ids))
                 )
-                near = queries @ data.T
-                near[asked[:, None] == ids[None, :]] = -np.inf
-                keep = min(count, len(ids))
-                # all candidates as near as the last one kept, so that ties can go to smaller ids
-                least = np.partition(near, len(ids) - keep, axis=1)[:, len(ids) - keep]
-                query, at = np.nonzero((near >= least[:, None]) & np.isfinite(near))
-                held.append(_best(asked[query], ids[at], near[query, at], count))
+                query, at, score = nearest_of_block(asked, queries, ids, data, count)
+                held.append(_best(asked[query], ids[at], score, count))
                 if sum(len(h[0]) for h in held) > HELD_ROWS:
                     held = [reduced()]
                     if len(held[0][0]) > HELD_ROWS // 2:
@@ -288,20 +315,37 @@ def nearest_neighbours(
     ident: str = "vec_id",
     vector: str = "embedding",
     sample: int = SAMPLE,
-    partitions: int = PARTITIONS,
+    partitions: int | None = None,
     cover: float = COVER,
 ) -> DataFrame:
     """query_id, rank, vec_id and score of the ``count`` nearest found of each query.
 
     ``is_query`` is a condition on the column ``id``. Nearness is the inner product in double precision;
-    ties go to the smaller id.
+    ties go to the smaller id. ``partitions`` grows with the table by default, as far as the sample allows.
     """
-    spark = vectors.sparkSession
     rows = usable(vectors, ident, vector)
-    lengths = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    width = lengths[0][0] if lengths else 0
-    total = lengths[0][1] if lengths else 0
-    rows = rows.where(F.size("vec") == width)
+    # the inner product is defined between vectors of one length: one search for each length
+    lengths = rows.groupBy(F.size("vec").alias("n")).count().orderBy("n").collect()
+    found = None
+    for width, total in lengths or [(0, 0)]:
+        some = rows.where(F.size("vec") == width)
+        parts = partitions or max(PARTITIONS, min(total // PARTITION_ROWS, sample // SAMPLE_SHARE))
+        some = _nearest_of_length(some, is_query, count, sample, parts, cover, width, total)
+        found = some if found is None else found.unionByName(some)
+    return found
+
+
+def _nearest_of_length(
+    rows: DataFrame,
+    is_query: Column,
+    count: int,
+    sample: int,
+    partitions: int,
+    cover: float,
+    width: int,
+    total: int,
+) -> DataFrame:
+    spark = rows.sparkSession
     # one id more than asked for, as a query is no candidate of its own, and of each as many rows as asked for
     alike, same = Window.partitionBy("vec", "id").orderBy("id"), Window.partitionBy("vec").orderBy("id")
     known = rows.withColumn("_row", F.row_number().over(alike)).where(F.col("_row") <= count)
