@@ -4,7 +4,7 @@ Texts are lower-cased; every run of one to three characters within them, hashed
 has the share of its occurrences as term frequency. Document frequencies come from all learning
 documents. The weights are learned with follow-the-regularised-leader (per-coordinate steps, L1 and L2
 penalties, so that most weights stay exactly zero) on at most PER_LANGUAGE documents a language, chosen
-by a hash of doc_id; a temperature is then fitted on a part of that sample kept aside. Prediction reads
+by a hash of doc_id and text; a temperature is then fitted on a part of that sample kept aside. Prediction reads
 whole texts.
 
 Defined cases: a null or empty text, or one without letters, is ``und`` with score 0; without any
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_texts, doc_key, fold, steps, table
+from .common import byte_texts, doc_key, fold, steps, table, text_key
 
 UNDETERMINED = "und"
 DIMENSIONS = 1 << 15
@@ -29,7 +29,11 @@ BATCH = 32
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-5
 STEP_BYTES = 300_000  # n-grams take some hundred bytes a character while they are counted
 SCALE = 30.0  # term frequencies are shares: this brings inputs to the order of one
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDLIKE = re.compile(r"[^\W\d_]")  # letters, and numerals that are no decimal digits
+
+
+def has_letter(text: str) -> bool:
+    return any(found[0].isalpha() for found in _WORDLIKE.finditer(text))
 
 
 def ngram_codes(texts: list[str], dimensions: int) -> tuple[np.ndarray, np.ndarray]:
@@ -180,19 +184,21 @@ def fit_language_model(
     idf = np.zeros(dimensions)
     at = np.array(sorted(counted), np.int64)
     idf[at] = np.log((1 + total) / (1 + np.array([counted[i] for i in at]))) + 1
-    # a share of each language that gives about the bound, by a hash of doc_id
-    draw = F.pmod(F.xxhash64(F.lit("draw"), doc_key()), F.lit(1_000_000))
+    # a share of each language that gives about the bound, by a hash of doc_id and text
+    draw = F.pmod(F.xxhash64(F.lit("draw"), doc_key(), text_key()), F.lit(1_000_000))
     share = F.lit(0)
     for language in languages:
         most = int(min(1.0, per_language / sizes[language]) * 1_000_000)
         share = F.when(F.col("lang") == language, F.lit(most)).otherwise(share)
     sample = known.where(draw < share).select(
-        "text", "lang", (F.pmod(F.xxhash64(F.lit("aside"), doc_key()), F.lit(5)) == 0).alias("aside")
+        "text", "lang", (F.pmod(F.xxhash64(F.lit("aside"), doc_key(), text_key()), F.lit(5)) == 0).alias("aside")
     )
     rows = (
         sample.select("text", "lang", "aside")
         .mapInArrow(_sparse_rows(dimensions), "lang string, aside boolean, features binary, shares binary")
         .orderBy(F.xxhash64("features", "shares"))
+        # rows that repeat are drawn all or none
+        .limit(2 * per_language * len(languages))
         .collect()
     )
     number = {language: i for i, language in enumerate(languages)}
@@ -236,7 +242,7 @@ def predict_language(text: Column, model: dict, spark: SparkSession) -> Column:
         names, scores = [], []
         for batch in steps([pa.RecordBatch.from_arrays([column], ["text"])], STEP_BYTES):
             texts = _texts(batch)
-            lettered = np.array([_LETTER.search(t) is not None for t in texts])
+            lettered = np.array([has_letter(t) for t in texts])
             if not known["languages"] or not lettered.any():
                 names.extend([UNDETERMINED] * len(texts))
                 scores.extend([0.0] * len(texts))
