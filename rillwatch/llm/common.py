@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import new_folder
+from ..session import new_folder, remove_folder
 
 # white space of the text contracts: space and \t \n \v \f \r
 WHITE = b" \t\n\x0b\x0c\r"
@@ -20,6 +20,7 @@ ALNUM_WORD = rb"[0-9a-z\x80-\xff]+"
 _BREAK = re.compile(rb"[^0-9a-z\x80-\xff]")
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 NO_ID = -(2**63)
+CHUNK_ROWS = 100_000  # rows that are numbered in one place
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,10 +29,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a later failure redoes nothing before it."""
+    return stored_at(df, purpose)[0]
+
+
+def stored_at(df: DataFrame, purpose: str) -> tuple[DataFrame, str]:
+    """As :func:`stored`, with the folder, which the caller removes when it is done with the table."""
     spark = df.sparkSession
     path = new_folder(spark, purpose)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+class Rounds:
+    """Stored tables of an iteration: a table goes when the next one of its name is stored."""
+
+    def __init__(self) -> None:
+        self._paths: dict[str, str] = {}
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        table_, path = stored_at(df, name)
+        before = self._paths.get(name)
+        self._paths[name] = path
+        if before is not None:
+            remove_folder(df.sparkSession, before)
+        return table_
+
+    def keep(self, name: str) -> None:
+        """Leave the present table of this name for good."""
+        self._paths.pop(name, None)
+
+
+def few_broadcast(rows: DataFrame, most: int) -> DataFrame:
+    """A stored table, marked for broadcast if it has at most ``most`` rows."""
+    return F.broadcast(rows) if rows.count() <= most else rows
 
 
 def doc_key() -> Column:
@@ -54,14 +84,17 @@ def doc_id_text() -> Column:
 
 
 def numbered(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, chunks: int = 256
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, chunks: int | None = None
 ) -> DataFrame:
     """Number the rows of each key without gaps from 0.
 
-    Rows are dealt into ``chunks`` per key by a hash of ``order``; only the chunk sizes of a key meet in
-    one place, so a key may hold any share of the rows. ``df`` is read twice: pass a stored table. Rows
-    equal in ``order`` are numbered in any order.
+    Rows are dealt into ``chunks`` per key by a hash of ``order``, by default so many that a chunk has
+    about CHUNK_ROWS rows even if all rows have one key; only the chunk sizes of a key meet in one place, so
+    a key may hold any share of the rows. ``df`` is read several times: pass a stored table. Rows equal in
+    ``order`` are numbered in any order.
     """
+    if chunks is None:
+        chunks = max(256, df.count() // CHUNK_ROWS)
     dealt = df.withColumn("_chunk", F.pmod(F.xxhash64(*order), F.lit(chunks)).cast("int"))
     sizes = dealt.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)

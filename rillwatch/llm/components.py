@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import Rounds
 
 TASK_EDGES = 500_000
 _EDGES = "a bigint, b bigint"
@@ -47,11 +47,12 @@ def connected_components(edges: DataFrame, task_edges: int = TASK_EDGES) -> Data
 
     Edges are dealt into tasks of about ``task_edges`` and contracted there. If that took more than one
     task, large-star and small-star rounds bring every node to its component's smallest node; each round
-    is stored, so a lost executor costs one round. A node with very many edges is split by the skew join.
+    is stored, so a lost executor costs one round, and its table goes with the next. A node with very many edges is split by the skew join.
     """
-    known = stored(edges.select("a", "b").where("a <> b"), "edges")
+    rounds = Rounds()
+    known = rounds.store(edges.select("a", "b").where("a <> b"), "all-edges")
     tasks = 1 + known.count() // task_edges
-    edges = stored(known.repartition(tasks).mapInArrow(_contract, _EDGES), "edges")
+    edges = rounds.store(known.repartition(tasks).mapInArrow(_contract, _EDGES), "edges")
     before = None
     while tasks > 1:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -63,7 +64,7 @@ def connected_components(edges: DataFrame, task_edges: int = TASK_EDGES) -> Data
             .select(F.col("b").alias("a"), F.col("low").alias("b"))
             .distinct()
         )
-        large = stored(large, "edges")
+        large = rounds.store(large, "large-star-edges")
         least = large.groupBy("a").agg(F.min("b").alias("low"))
         # a node's own edge to the smallest comes from its row with that neighbour
         joined = large.join(least, "a")
@@ -73,7 +74,7 @@ def connected_components(edges: DataFrame, task_edges: int = TASK_EDGES) -> Data
             .where("a <> b")
             .distinct()
         )
-        edges = stored(small, "edges")
+        edges = rounds.store(small, "edges")
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import numbered, stored, table, text_key
+from .common import Rounds, numbered, stored, table, text_key
 
 SHARDS = 16
 IDLE = 9  # rounds in a row, three of each kind, without a gain that end the propagation
@@ -136,7 +136,8 @@ def balanced_shards(nodes: DataFrame, memberships: DataFrame, shards: int = SHAR
     linked = stored(links.select("node").distinct(), "linked-nodes")
     total = nodes.count()
     quotas = _quotas(total, shards)
-    placed = stored(
+    rounds = Rounds()
+    placed = rounds.store(
         numbered(linked, [], ["node"], "number").select(
             "node", F.pmod("number", F.lit(shards)).cast("int").alias("shard")
         ),
@@ -153,12 +154,14 @@ def balanced_shards(nodes: DataFrame, memberships: DataFrame, shards: int = SHAR
     while idle < IDLE:
         if counts is None:
             state = links.join(placed, "node")
-            counts = stored(state.groupBy("group", "shard").agg(F.count(F.lit(1)).alias("count")), "shard-counts")
+            counts = state.groupBy("group", "shard").agg(F.count(F.lit(1)).alias("count"))
+            counts = rounds.store(counts, "shard-counts")
             held = sizes(placed, "shard")
             # with groups that overlap, moves made at the same time can also part neighbours
             together = counts.agg(F.sum(F.col("count").cast("double") * F.col("count"))).first()[0] or 0.0
             if together > most:
                 most, best, idle = together, placed, 0
+                rounds.keep("shard-state")
         idle += 1
         free = [q - h for q, h in zip(quotas, held)]
         kind, turn = turn % 3, turn + 1
@@ -167,7 +170,7 @@ def balanced_shards(nodes: DataFrame, memberships: DataFrame, shards: int = SHAR
         open_shards = [f > 0 for f in free] if kind == 2 else [t or f > 0 for t, f in zip(taking, free)]
         if not any(open_shards):
             continue
-        wishes = stored(_wishes(state, counts, open_shards, turn), "shard-wishes")
+        wishes = rounds.store(_wishes(state, counts, open_shards, turn), "shard-wishes")
         wanted = wishes.groupBy("from", "to", "gain").count().collect()  # few rows for two shards
         if not wanted and all(open_shards):
             break
@@ -179,7 +182,7 @@ def balanced_shards(nodes: DataFrame, memberships: DataFrame, shards: int = SHAR
         if not moves.any():
             continue
         moved = _accepted(wishes, wanted, moves).select("node", "to")
-        placed = stored(
+        placed = rounds.store(
             placed.join(moved, "node", "left").select("node", F.coalesce("to", "shard").alias("shard")),
             "shard-state",
         )
