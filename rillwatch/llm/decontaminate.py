@@ -1,10 +1,10 @@
 """Benchmark decontamination with built-in functions only.
 
-Benchmark texts become windows of 13 words (a shorter text is one window). The hashes of a benchmark of
-at most MAX_SET windows, counted first, go to every task as a set inside the plan; a larger one is
-joined on the hash instead. Each document's windows are looked up there, every hit is verified word by
-word against the windows themselves, and the result says which words are hit and by which items. Texts
-are read once and never shuffled; only the hits are.
+Benchmark texts become windows of 13 words (a shorter text is one window). Their hashes are counted first.
+Up to MAX_SET of them go to every task as a set inside the plan, up to MAX_BROADCAST as a broadcast hash
+table; only beyond that are the documents' windows shuffled. Each document's windows are looked up there,
+every hit is verified word by word against the windows themselves, and the result says which words are hit
+and by which items. With a set or a broadcast table texts never move, only hits do.
 
 Words are runs of digits, letters a-z (A-Z lower-cased) and characters beyond ASCII.
 
@@ -15,10 +15,12 @@ words has no window; an empty benchmark hits nothing; repeated rows are judged e
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_key, stored, table, text_key
+from .common import doc_key, few_broadcast, stored, table, text_key
 
 WINDOW = 13
 MAX_SET = 20_000
+MAX_BROADCAST = 2_000_000  # hashes, of some 50 bytes each in a task's hash table
+FEW_IDS = 200_000  # ids of documents that are broadcast
 SHARE = 20  # a document is contaminated when one word in so many is hit
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _PIECE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -79,33 +81,41 @@ def _by_set(words: DataFrame, hashes: dict[int, list[int]]) -> DataFrame:
     return words.withColumn("hits", hits)
 
 
-def _by_join(words: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
-    """The same for a benchmark of any size: every window of every document joined on its hash."""
-    words = stored(words, "words")
-    wanted = windows.select("len", "hash").distinct()
-    every = None
-    for length in lengths:
-        hashes = F.transform(_starts(length), lambda i: F.xxhash64(F.slice("words", i, length)))
-        some = words.select("doc", "text_hash", F.lit(length).alias("len"), F.posexplode(hashes).alias("at", "hash"))
-        every = some if every is None else every.unionByName(some)
-    places = (
-        every.join(wanted, ["len", "hash"])
-        .groupBy("doc", "text_hash")
-        .agg(F.collect_set(F.struct((F.col("at") + 1).alias("pos"), "len")).alias("places"))
-    )
+def _by_table(words: DataFrame, wanted: DataFrame, lengths: list[int]) -> DataFrame:
+    """The same for a benchmark of any size: the hash of every window of every document is looked up in the
+    table ``wanted``, which is broadcast or not, and the words of documents with a hit are read again."""
+    keys = ["doc", "text_hash"]
+
+    def hashes(length: int) -> Column:
+        return F.transform(
+            _starts(length),
+            lambda i: F.struct(
+                i.alias("pos"), F.lit(length).alias("len"), F.xxhash64(F.slice("words", i, length)).alias("hash")
+            ),
+        )
+
+    every = words.select(*keys, F.explode(F.concat(*map(hashes, lengths))).alias("at")).select(*keys, "at.*")
+    found = every.join(wanted, ["len", "hash"]).groupBy(*keys)
+    places = stored(found.agg(F.collect_set(F.struct("pos", "len")).alias("places")), "benchmark-places")
     hits = F.transform(
-        F.coalesce("places", F.array().cast("array<struct<pos:int,len:int>>")),
+        "places",
         lambda p: F.struct(
             p["pos"].alias("pos"),
             p["len"].alias("len"),
             F.array_join(F.slice("words", p["pos"], p["len"]), " ").alias("window"),
         ),
     )
-    return words.join(places, ["doc", "text_hash"], "left").withColumn("hits", hits)
+    none = F.array().cast("array<struct<pos:int,len:int,window:string>>")
+    marked = words.join(few_broadcast(places, FEW_IDS), keys, "left")
+    return marked.withColumn("hits", F.when(F.col("places").isNull(), none).otherwise(hits)).drop("places")
 
 
 def benchmark_hits(
-    docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_set: int = MAX_SET
+    docs: DataFrame,
+    benchmark: DataFrame,
+    size: int = WINDOW,
+    max_set: int = MAX_SET,
+    max_broadcast: int = MAX_BROADCAST,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, doc and text_hash (its keys), n_words, places, items.
 
@@ -125,7 +135,8 @@ def benchmark_hits(
         marked = _by_set(words, by_length)
     else:
         lengths = [row[0] for row in windows.select("len").distinct().collect()]  # at most ``size``
-        marked = _by_join(words, windows, lengths)
+        wanted = stored(windows.select("len", "hash").distinct(), "window-hashes")
+        marked = _by_table(words, few_broadcast(wanted, max_broadcast), lengths)
     rows = stored(
         marked.select("doc_id", "doc", "text_hash", F.size("words").cast("bigint").alias("n_words"), "hits"),
         "benchmark-candidates",
@@ -178,7 +189,8 @@ def decontaminate(
     )
     if not cut:
         bad = found.where(is_contaminated(F.col("n_words"), F.size("places"), share))
-        kept = packed.join(bad.select("doc", "text_hash"), ["doc", "text_hash"], "left_anti")
+        bad = stored(bad.select("doc", "text_hash"), "contaminated")
+        kept = packed.join(few_broadcast(bad, FEW_IDS), ["doc", "text_hash"], "left_anti")
         return kept.select("row.*")
     touched = found.where(F.size("places") > 0).select("doc", "text_hash", "places")
     text = F.col("row.text")
