@@ -174,7 +174,9 @@ def fit_quality(
     total = clean.count()
     draw = F.pmod(F.xxhash64(F.lit("draw"), doc_key()), F.lit(1_000_000))
     drawn = clean.where(draw < int(min(1.0, bound / max(1, total)) * 1_000_000))
-    found = statistics.join(drawn, "doc_id").select("stats", "quality").toArrow()
+    found = statistics.join(drawn, "doc_id").select("stats", "quality")
+    # a doc_id that repeats in both tables has the product of its rows
+    found = found.orderBy(F.xxhash64("stats", "quality")).limit(2 * bound).toArrow()
     if not found.num_rows:
         return BoostedTrees(0.0, np.zeros((0, 1), int), np.zeros((0, 1)), np.zeros((0, 2)))
     data = np.array(found["stats"].to_pylist())
