@@ -202,17 +202,39 @@ def _contaminated_texts():
     return texts + edge_texts(), items
 
 
-@pytest.mark.parametrize("max_set", [20_000, 3])
-def test_hits_as_in_plain_python(spark, max_set):
+@pytest.mark.parametrize("limits", [{}, {"max_set": 3}, {"max_set": 3, "max_broadcast": 3}])
+def test_hits_as_in_plain_python(spark, limits):
     texts, items = _contaminated_texts()
     docs = clashing(documents(spark, [(t[0] + 100 if t[0] is not None else None, t[1]) if isinstance(t, tuple) else (i, t) for i, t in enumerate(texts)]))
     bench = spark.createDataFrame(items, "item_id bigint, text string")
-    found = decontaminate.benchmark_hits(docs, bench, max_set=max_set)
+    found = decontaminate.benchmark_hits(docs, bench, **limits)
     got = [(r.doc_id, r.n_words, tuple(sorted(r.places)), tuple(r["items"])) for r in found.collect()]
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     assert Counter(got) == Counter(plain_hits(rows, items))
 
 
+def test_a_large_benchmark_moves_no_texts(spark, monkeypatch):
+    """200,000 windows: hits are found through a broadcast table, and documents marked through another."""
+    items = [(i, " ".join(f"w{i * 1012 + j}" for j in range(1012))) for i in range(200)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    texts = ["own words only " * 9, "before " + " ".join(items[17][1].split(" ")[40:60]) + " behind", None]
+    plans = []
+
+    def seen(df, purpose):
+        plans.append((purpose, df._jdf.queryExecution().executedPlan().toString()))
+        return store(df, purpose)
+
+    store = decontaminate.stored
+    monkeypatch.setattr(decontaminate, "stored", seen)
+    rows = decontaminate.benchmark_hits(documents(spark, texts), bench).collect()
+    assert {r.doc_id: (r.n_words, len(r.places), r["items"][:1]) for r in rows} == {
+        0: (27, 0, []), 1: (22, 20, ["17"]), 2: (0, 0, []),
+    }
+    plans = dict(plans)
+    assert plans["benchmark-places"].count("BroadcastHashJoin") == 1 and "SortMergeJoin" not in plans["benchmark-places"]
+    assert "BroadcastHashJoin" in plans["benchmark-candidates"] and "Exchange hash" not in plans["benchmark-candidates"]
+
+
 def test_contaminated_documents_leave(spark):
     texts, items = _contaminated_texts()
     docs = clashing(documents(spark, texts[:60]))
@@ -242,6 +264,27 @@ def test_numbers_have_no_gaps(spark):
     assert all(sorted(x) == list(range(len(x))) for x in got.values()) and len(got) == 3
 
 
+def test_chunks_grow_with_the_rows(spark, monkeypatch):
+    from rillwatch.llm import common
+
+    monkeypatch.setattr(common, "CHUNK_ROWS", 1)
+    rows = numbered(spark.range(1000).selectExpr("id AS v"), [], ["v"], "at")
+    assert sorted(r.at for r in rows.collect()) == list(range(1000))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "1000)" in plan
+
+
+def test_tables_of_earlier_rounds_go(spark):
+    from rillwatch.session import shared_folder, subfolders
+
+    edges = [(i, i + 1) for i in range(60)]
+    before = set(subfolders(spark, shared_folder(spark)))
+    found = components.connected_components(spark.createDataFrame(edges, "a bigint, b bigint"), task_edges=10)
+    assert found.count() == 61
+    left = [n.rsplit("-", 1)[0] for n in set(subfolders(spark, shared_folder(spark))) - before]
+    assert sorted(left) == ["all-edges", "edges", "large-star-edges"]
+
+
 def _check_shards(rows, shards):
     sizes = Counter(r.shard for r in rows)
     counts = [sizes.get(s, 0) for s in range(shards)]

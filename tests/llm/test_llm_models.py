@@ -8,7 +8,7 @@ import pytest
 from corpora import clashing, documents, edge_texts
 from pyspark.sql import functions as F
 from test_llm_groups import plain_groups, plain_hits
-from test_llm_texts import plain_line_dedup
+from test_llm_texts import WHITE, plain_line_dedup
 
 import corpus_pipeline
 from rillwatch.llm import language, neighbours, pieces, quality
@@ -42,7 +42,8 @@ def test_language_of_edge_cases(spark):
     )
     model = language.fit_language_model(docs, F.lit(True))
     assert model["languages"] == ["de", "en"]
-    odd = clashing(documents(spark, edge_texts() + [(70, "12345 !!"), (71, "my friend")]))
+    numerals = [(72, "½ ² ① Ⅷ 3"), (73, "½ ² ① Ⅷ 3 a"), (74, "²a")]
+    odd = clashing(documents(spark, edge_texts() + [(70, "12345 !!"), (71, "my friend"), *numerals]))
     found = language.predict_language(F.col("text"), model, spark)
     rows = odd.select("text", found.alias("f")).select("text", "f.*").collect()
     for row in rows:
@@ -55,6 +56,55 @@ def test_language_of_edge_cases(spark):
     assert language.keep_known_languages(docs.limit(0), model).count() == 0
 
 
+def test_sample_is_bounded_where_doc_ids_lack_or_repeat(spark, monkeypatch):
+    texts = [(None, f"hello my friend number {i}") for i in range(400)] + [(3, "good day to you")] * 300
+    seen = []
+    fit = language.FollowTheLeader.learn
+    monkeypatch.setattr(language.FollowTheLeader, "learn", lambda self, rows, wanted: seen.append(len(rows)) or fit(self, rows, wanted))
+    model = language.fit_language_model(documents(spark, texts), F.lit(True), per_language=50)
+    assert model["languages"] == ["en"] and 10 <= sum(seen) / language.EPOCHS <= 100
+
+
+def plain_leader(documents_, wanted, dimensions, classes):
+    """Follow-the-regularised-leader by loops, one coordinate at a time, batch by batch."""
+    z, n = np.zeros((dimensions + 1, classes)), np.zeros((dimensions + 1, classes))
+
+    def weight(f, c):
+        if abs(z[f, c]) <= language.L1:
+            return 0.0
+        rate = (language.BETA + np.sqrt(n[f, c])) / language.ALPHA + language.L2
+        return -(z[f, c] - np.sign(z[f, c]) * language.L1) / rate
+
+    for start in range(0, len(documents_), language.BATCH):
+        some = list(zip(documents_, wanted))[start : start + language.BATCH]
+        gradient = {}
+        for (features, values), label in some:
+            logits = [sum(weight(f, c) * v for f, v in zip(features, values)) for c in range(classes)]
+            top = max(logits)
+            chances = [np.exp(x - top) for x in logits]
+            for c in range(classes):
+                error = chances[c] / sum(chances) - (c == label)
+                for f, v in zip(features, values):
+                    gradient[f, c] = gradient.get((f, c), 0.0) + error * v / len(some)
+        for (f, c), g in gradient.items():
+            step = (np.sqrt(n[f, c] + g * g) - np.sqrt(n[f, c])) / language.ALPHA
+            z[f, c] += g - step * weight(f, c)
+            n[f, c] += g * g
+    return np.array([[weight(f, c) for c in range(classes)] for f in range(dimensions + 1)])
+
+
+def test_leader_learns_the_weights_of_plain_loops():
+    rnd = np.random.default_rng(4)
+    rows, wanted = [], rnd.integers(0, 3, 100)
+    for label in wanted:
+        features = np.unique(rnd.integers(0, 12, 4) + 4 * label)
+        rows.append((np.append(features, 24), np.append(rnd.random(len(features)) * 3, 1.0)))
+    model = language.FollowTheLeader(24, 3)
+    for start in range(0, len(rows), language.BATCH):
+        model.learn(rows[start : start + language.BATCH], wanted[start : start + language.BATCH])
+    assert model.weights() == pytest.approx(plain_leader(rows, wanted, 24, 3), abs=1e-9)
+
+
 def test_temperature_calms_a_model_that_is_too_sure():
     rnd = np.random.default_rng(0)
     wanted = rnd.integers(0, 2, 2000)
@@ -90,6 +140,27 @@ def test_quality_of_edge_cases(spark):
     assert quality.document_statistics(docs.limit(0)).count() == 0
 
 
+def test_first_split_is_the_best_of_all():
+    """The root of the first tree against a plain search over every feature and limit."""
+    rnd = np.random.default_rng(6)
+    data = rnd.integers(0, 12, (300, 4)).astype(float)
+    labels = (data[:, 2] > 6).astype(float)
+    labels[rnd.random(300) < 0.1] = 1.0
+    trees = quality.BoostedTrees.fit(data, labels)
+    error = labels - labels.mean()
+    curve = np.full(300, labels.mean() * (1 - labels.mean()))
+
+    def gain(rows):
+        return error[rows].sum() ** 2 / (curve[rows].sum() + 1.0) if rows.any() else 0.0
+
+    best = max(
+        ((gain(data[:, f] <= v) + gain(data[:, f] > v), f, v) for f in range(4) for v in np.unique(data[:, f])[:-1]),
+    )
+    assert trees.feature[0][0] == best[1] == 2
+    left = data[:, 2] <= trees.limit[0][0]
+    assert gain(left) + gain(~left) == pytest.approx(best[0], rel=1e-6)
+
+
 def test_trees_walk_as_they_were_grown():
     rnd = np.random.default_rng(2)
     data = rnd.normal(size=(600, 5))
@@ -184,6 +255,36 @@ def test_vec_ids_that_repeat_hide_no_others(spark):
     assert [i for i, _ in got[50]] == [0] * 20
 
 
+def test_products_beyond_doubles_are_ranked(spark):
+    rows = [(0, [1e200, 0.0]), (1, [1e200, 0.0]), (2, [1.0, 0.0]), (3, [-1e200, 1.0]), (4, [1e200, 1e200]), (5, [1e200, -1e200])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = _found(neighbours.nearest_neighbours(df, F.col("id") < 6).collect())
+    inf = float("inf")
+    assert got[0] == [(1, inf), (4, inf), (5, inf), (2, 1e200), (3, -inf)]
+    # infinite parts of both signs cancel to the lowest score
+    assert [i for i, _ in got[4]] == [0, 1, 2, 3, 5] and got[4][-1] == (5, -inf)
+
+
+def test_equal_vectors_have_equal_scores_in_any_block(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 37)
+    rnd = np.random.default_rng(11)
+    base = rnd.normal(size=(60, 33))
+    data = np.concatenate([base] * 12)[rnd.permutation(720)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id bigint, embedding array<double>")
+    got = _found(neighbours.nearest_neighbours(df, F.col("id") % 9 == 0, count=30, partitions=1).collect())
+    for q, some in got.items():
+        exact = neighbours.inner_products(np.repeat(data[q : q + 1], 720, axis=0), data)
+        order = [k for k in np.lexsort((np.arange(720), -exact)) if k != q][:30]
+        assert some == [(k, exact[k]) for k in order]
+
+
+def test_vectors_of_each_length_are_searched(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(10)] + [(i, [float(i), 0.0, 2.0]) for i in range(10, 17)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = _found(neighbours.nearest_neighbours(df, F.col("id").isin(3, 12), count=4).collect())
+    assert [i for i, _ in got[3]] == [9, 8, 7, 6] and [i for i, _ in got[12]] == [16, 15, 14, 13]
+
+
 def test_neighbours_of_edge_cases(spark):
     bad = [None, [0.0, 0.0], [1.0, None], [float("nan"), 1.0], [float("inf"), 1.0], [1.0, 2.0, 3.0], []]
     rows = [(i, [1.0, 0.5]) for i in range(40)] + [(40 + i, v) for i, v in enumerate(bad)]
@@ -207,7 +308,11 @@ def test_pipeline_as_in_plain_python(spark):
     kept = [(r.doc_id, r.text) for r in language.keep_known_languages(docs, model).collect()]
     lettered = {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
     assert {i for i, _ in kept} == lettered
-    kept = [(i, text) for i, _, _, text in plain_line_dedup(kept)]
+    kept = [
+        (i, text)
+        for (_, before), (i, _, _, text) in zip(kept, plain_line_dedup(kept))
+        if text.strip(WHITE) or not (before or "").strip(WHITE)
+    ]
     stay = {i for i, _, group in plain_groups(kept, 5, 8, 10) if i == group}
     kept = [(i, t) for i, t in kept if i in stay]
     items = [(r.item_id, r.text) for r in table(spark, QUERY_DIR, "benchmark").collect()]
@@ -217,7 +322,7 @@ def test_pipeline_as_in_plain_python(spark):
         i: np.frombuffer(coder.encode([t.encode()])[0], coder.kind).tolist() for i, t in kept if i in clean
     }
     rows = corpus_pipeline.run(spark, QUERY_DIR).collect()
-    assert {r.doc_id: r.ids for r in rows} == wanted and all(r.round_trip for r in rows)
+    assert {r.doc_id: r.ids for r in rows} == wanted and all(r.round_trip and r.n_tokens for r in rows)
 
 
 def test_stages_keep_their_columns(spark):

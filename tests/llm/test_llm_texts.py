@@ -11,6 +11,7 @@ from corpora import clashing, documents, edge_texts, mixed_texts
 
 from rillwatch.llm import line_dedup, pieces, token_files, wordpieces
 from rillwatch.llm.common import table
+from rillwatch.llm.encoders import WordMemo, joined
 from rillwatch.llm.trie import ROOT, DoubleArrayTrie
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -153,10 +154,10 @@ def plain_token_files(found, tokenizer):
     return out
 
 
-def _tokenizer(public):
+def _tokenizer(public, name="word_bpe_49k.json"):
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(public.path("word_bpe_49k.json"))
+    return Tokenizer.from_file(public.path(name))
 
 
 def test_query_token_files(spark, sf_dir, public):
@@ -165,22 +166,48 @@ def test_query_token_files(spark, sf_dir, public):
     assert got == plain_token_files(texts, _tokenizer(public))
 
 
-def test_token_files_of_odd_texts(spark, public):
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_token_files_of_odd_texts(spark, public, name):
     odd = [
         "<|endoftext|> inside <|startoftext|>", "don't we're I'LL it's", "ÉCOLE École é é ß İstanbul",
         "a.b,c!! $$$ 12345 x²", "tab\tand nbsp wide", "ﬁne Å Ω ςΣ", "UPPER,lower|bar", None, "", "'s", "a's.",
     ]
     texts = list(enumerate(odd * 3))
     docs = clashing(documents(spark, texts)).repartition(5)
-    segments = token_files.token_segments(docs, public.path("word_bpe_49k.json"), segment_ids=50)
+    segments = token_files.token_segments(docs, public.path(name), segment_ids=50)
     got = sorted(tuple(r) for r in token_files.segment_documents(segments).collect())
-    assert got == plain_token_files(texts, _tokenizer(public))
+    assert got == plain_token_files(texts, _tokenizer(public, name))
     row = segments.orderBy("part", "seq").first()
     segment = token_files.Segment(bytes(row.payload))
     whole = np.concatenate([segment.document(i) for i in range(segment.n_docs)])
     assert (whole == segment.ids).all() and segment.n_docs == len(row.doc_ids)
 
 
+def test_word_by_word_needs_a_tokenizer_that_allows_it(spark, public):
+    docs = documents(spark, ["a b"])
+    with pytest.raises(ValueError, match="apart"):
+        token_files.token_segments(docs, public.path("byte_bpe_50k.json"), by_word=True)
+
+
+def test_forgetting_words_changes_no_ids(spark, public, monkeypatch):
+    monkeypatch.setattr(token_files, "KNOWN_WORDS", 3)
+    texts = [t.encode() for t in mixed_texts(40)] + [b"a, b. c", b""]
+    definition = open(public.path("word_bpe_49k.json"), encoding="utf-8").read()
+    encoder = token_files.TextEncoder(definition, 2, True)
+    for at in range(0, len(texts), 4):
+        some = texts[at : at + 4]
+        assert encoder.encode(some) == [encoder.whole(t) for t in some]
+
+
+def test_memory_forgets_its_older_half():
+    memo = WordMemo(lambda words: [w.upper() for w in words], limit=4)
+    assert memo.look_up([b"a", b"b", b"a", b"c", b"d", b"e", b"f"]) == [b"A", b"B", b"A", b"C", b"D", b"E", b"F"]
+    older = list(memo)[:3]
+    memo.trim()
+    assert len(memo) == 3 and not set(older) & set(memo)
+    assert joined(memo.look_up([b"a", b"f", b"b"]), [2, 0, 1]) == [b"AF", b"", b"B"]
+
+
 def test_token_files_of_edge_cases(spark, public):
     path = public.path("word_bpe_49k.json")
     docs = documents(spark, edge_texts())
@@ -256,6 +283,46 @@ def test_query_sentencepiece(spark, sf_dir, public):
     assert not texts
 
 
+def test_each_text_is_encoded_once(spark, public, tmp_path, monkeypatch):
+    log = str(tmp_path / "log")
+    encode = pieces.PieceModel.encode
+
+    def counted(self, texts):
+        with open(log, "a") as file:
+            file.write(f"{len(texts)}\n")
+        return encode(self, texts)
+
+    monkeypatch.setattr(pieces.PieceModel, "encode", counted)
+    docs = documents(spark, mixed_texts(200)).repartition(3)
+    pieces.piece_round_trip(docs, public.path("piece_bpe_32k.model")).collect()
+    assert sum(map(int, open(log).read().split())) == 200
+
+
+def test_pieces_of_a_long_text_without_a_space(spark, public):
+    path = public.path("piece_bpe_32k.model")
+    row = pieces.pieces_and_back(documents(spark, ["ab漢" * 30_000]), path).first()
+    assert row.decoded == "ab漢" * 30_000 and row.lang == "en"
+
+
+def test_all_words_of_a_table_are_split_best(spark, sf_dir, public):
+    """Every tenth distinct word of all texts against a plain search over all splits."""
+    model = pieces.read_model(public.path("piece_bpe_32k.model"))
+    coder = pieces.PieceModel(**model)
+    scores = {p: s for p, s, o in zip(model["pieces"], model["scores"], model["ordinary"]) if o}
+    words = sorted({w for r in table(spark, sf_dir, "documents").collect() for w in r.text.split()})[::10]
+    for word, raw in zip(words, coder.split_words([f" {w}".encode() for w in words])):
+        ids = np.frombuffer(raw, coder.kind).tolist()
+        if all(model["ordinary"][i] for i in ids):
+            total = sum(model["scores"][i] for i in ids)
+            assert total == pytest.approx(plain_best_score(pieces.MARK + word, scores, coder.unknown)), word
+
+
+def test_scores_of_a_model_are_used_as_they_are(public):
+    path = public.path("piece_bpe_32k.model")
+    given, ranked = (pieces.read_model(path, merge_ranks=x)["scores"] for x in (False, True))
+    assert given.min() < -1000 and ranked.min() > -25
+
+
 def test_decoding_mends_broken_bytes(spark, public):
     path = public.path("piece_bpe_32k.model")
     byte_ids = pieces.read_model(path)["byte_ids"]
