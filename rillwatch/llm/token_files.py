@@ -19,7 +19,7 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,19 +28,50 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import byte_texts, steps, stored, table, text_key
-from .encoders import WordMemo
+from .encoders import WordMemo, joined
 
 MAGIC = b"RWT1"
 HEADER = "<4sBxxxIIII"
 SAMPLE = 64  # every so many documents, the place of their bit is kept
 SEGMENT_IDS = 1_000_000
 END_ID = 1
-CORE_WORDS = 500_000  # words that a worker remembers: encoding them anew is what costs most here
+KNOWN_WORDS = 700_000  # words that a worker remembers: encoding them anew is what costs most here
 # characters that a word may end with, apart from its core; none of them begins a contraction
 _TAIL = b".,!?;:|$%&*#()"
 # letters that are composed already and whose lower case is one letter
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
+# fixed values: preparation that lower-cases, composes, drops white space and cuts between letters,
+# numerals and other characters, so that a text's ids are those of its words
+_WORDWISE = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [
+            {"type": "NFC"},
+            {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+            {"type": "Lowercase"},
+        ],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+def encodes_words_apart(definition: str) -> bool:
+    """Whether the definition is known to encode a text as the sequence of its words."""
+    parts = json.loads(definition)
+    return all(parts[name] == wanted for name, wanted in _WORDWISE.items())
+
 
 class EliasFano:
     """Non-decreasing whole numbers in near-minimal space."""
@@ -119,13 +150,31 @@ class Segment:
         return self.ids[start : self._ends.select(index)]
 
 
+class _CutWords(WordMemo):
+    """Encoded words; punctuation behind a word is cut off, where the tokenizer cuts anyway."""
+
+    def learn(self, words: Iterable[bytes]) -> None:
+        whole, cut = [], []
+        for word in set(words):
+            if word in self:
+                continue
+            core = word.rstrip(_TAIL)
+            if len(core) < len(word) and core[-1:].isalnum():
+                cut.append((word, core, word[len(core) :]))
+            else:
+                whole.append(word)
+        self.update(zip(whole, self.encode(whole)))
+        parts = [p for p in {p for some in cut for p in some[1:]} if p not in self]
+        self.update(zip(parts, self.encode(parts)))
+        self.update([(word, self[core] + self[tail]) for word, core, tail in cut])
+
+
 class TextEncoder:
     """A tokenizer of the tokenizers library, with a memory of the words that it has met.
 
-    With ``by_word`` the tokenizer must drop white space, never merge across it or between letters and
-    punctuation, lower-case and compose: then a text's ids are those of its words, whatever surrounds
-    them, and a word of plain Latin letters needs neither normaliser nor splitter. Texts that may hold a
-    special token are encoded whole.
+    With ``by_word`` a text's ids are those of its words, whatever surrounds them, and a word of plain
+    Latin letters needs neither normaliser nor splitter; only definitions that :func:`encodes_words_apart`
+    knows allow that. Texts that may hold a special token are encoded whole.
     """
 
     def __init__(self, definition: str, width: int, by_word: bool):
@@ -133,32 +182,46 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.plain = Tokenizer.from_str(self._without_preparation(definition))
+        self.plain = Tokenizer.from_str(self._for_word_lists(definition))
+        self.width = width
         self.kind = f"<u{width}"
+        model = json.loads(definition)["model"]
+        suffix = model.get("end_of_word_suffix")
+        self.ends_word = np.zeros(2 ** (8 * min(width, 3)), bool)
+        self.ends_word[[i for piece, i in model["vocab"].items() if suffix and piece.endswith(suffix)]] = True
         self.by_word = by_word
         self.marks = [t["content"].encode() for t in json.loads(definition).get("added_tokens", ())]
         self.mark = os.path.commonprefix(self.marks) if self.marks else None
-        self.cores = WordMemo(self._encode_cores, CORE_WORDS)
+        self.words = _CutWords(self._encode_parts, KNOWN_WORDS)
 
     @staticmethod
-    def _without_preparation(definition: str) -> str:
-        """The same model behind its byte alphabet alone."""
+    def _for_word_lists(definition: str) -> str:
+        """The same model behind its byte alphabet, for words that a space parts."""
         parts = json.loads(definition)
         splitters = (parts["pre_tokenizer"] or {}).get("pretokenizers", [parts["pre_tokenizer"]])
-        alphabet = [s for s in splitters if s and s["type"] == "ByteLevel"]
-        parts.update(normalizer=None, pre_tokenizer=alphabet[0] | {"use_regex": False} if alphabet else None)
+        alphabet = [s | {"use_regex": False} for s in splitters if s and s["type"] == "ByteLevel"]
+        at_spaces = {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}
+        parts.update(normalizer=None, pre_tokenizer={"type": "Sequence", "pretokenizers": [at_spaces, *alphabet]})
         return json.dumps(parts)
 
-    def _encode_cores(self, words: list[bytes]) -> list[bytes]:
+    def _encode_simple(self, words: list[str]) -> list[bytes]:
+        """Ids of lower-case words of plain letters, all in one call; a word's last id is known by its suffix."""
+        ids = np.asarray(self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.int64)
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) != len(words):
+            return [self.whole(w.encode()) for w in words]
+        limits = (ends * self.width).tolist()
+        raw = ids.astype(self.kind).tobytes()
+        return [raw[a:b] for a, b in zip([0, *limits[:-1]], limits)]
+
+    def _encode_parts(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words and ends of words that the tokenizer keeps apart from what is around them."""
         texts = [w.decode() for w in words]
-        simple = [bool(_LETTERS.fullmatch(t)) for t in texts]
-        found: list = [None] * len(texts)
-        for tokenizer, wanted in ((self.plain, True), (self.tokenizer, False)):
-            at = [i for i, s in enumerate(simple) if s is wanted]
-            some = [texts[i].lower() if wanted else texts[i] for i in at]
-            for i, one in zip(at, tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                found[i] = np.asarray(one.ids, self.kind).tobytes()
-        return found
+        simple = [_LETTERS.fullmatch(t) is not None for t in texts]
+        known = iter(self._encode_simple([t.lower() for t, s in zip(texts, simple) if s]) if any(simple) else ())
+        others = [t for t, s in zip(texts, simple) if not s]
+        coded = iter(self.tokenizer.encode_batch_fast(others, add_special_tokens=False))
+        return [next(known) if s else np.asarray(next(coded).ids, self.kind).tobytes() for s in simple]
 
     def whole(self, text: bytes) -> bytes:
         return np.asarray(
@@ -169,27 +232,12 @@ class TextEncoder:
         if not self.by_word:
             return [self.whole(t) for t in texts]
         plain = [None if self.mark is not None and self.mark in t else t.lower().split() for t in texts]
-        words = [w for some in plain if some is not None for w in some]
-        memo = self.cores
-        memo.trim()
-        memo.learn(self._parts(set(words).difference(memo)))
-        for word in set(words).difference(memo):
-            memo[word] = b"".join(map(memo.__getitem__, self._parts([word])))
-        return [
-            self.whole(text) if some is None else b"".join(map(memo.__getitem__, some))
-            for text, some in zip(texts, plain)
-        ]
-
-    @staticmethod
-    def _parts(words) -> Iterator[bytes]:
-        """Each word cut into its core and the punctuation behind it, where the tokenizer cuts anyway."""
-        for word in words:
-            core = word.rstrip(_TAIL)
-            if core and core != word and (core[-1:].isalnum()):
-                yield core
-                yield word[len(core) :]
-            else:
-                yield word
+        self.words.trim()
+        found = joined(
+            self.words.look_up([w for some in plain if some is not None for w in some]),
+            [len(some or ()) for some in plain],
+        )
+        return [self.whole(text) if some is None else ids for text, some, ids in zip(texts, plain, found)]
 
 
 def _packed(model, end_id: int, by_word: bool, segment_ids: int):
@@ -236,16 +284,21 @@ def token_segments(
     docs: DataFrame,
     tokenizer_path: str,
     end_id: int = END_ID,
-    by_word: bool = True,
+    by_word: bool | None = None,
     segment_ids: int = SEGMENT_IDS,
 ) -> DataFrame:
     """Encode all texts and write them as segments in ascending doc_id order; returns the stored table.
 
+    Texts are encoded word by word where the definition allows it and ``by_word`` is not False.
+
     ``tokenizer_path`` names a definition file of the tokenizers library on the driver; its text (a few
     MB, whatever the input) is broadcast. Columns: part and seq (order), n_tokens, doc_ids, payload.
     """
     with open(tokenizer_path, encoding="utf-8") as file:
         definition = file.read()
+    if by_word and not encodes_words_apart(definition):
+        raise ValueError("this tokenizer does not encode words apart from each other")
+    by_word = encodes_words_apart(definition) if by_word is None else by_word
     vocabulary = json.loads(definition)["model"]["vocab"]
     most = max(end_id, len(vocabulary), *(t["id"] for t in json.loads(definition).get("added_tokens", ())))
     spark = docs.sparkSession
