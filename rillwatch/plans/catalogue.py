@@ -86,6 +86,7 @@ from ..streaming import (
     limit_job,
     metric_totals,
     on_time_job,
+    publish_batch,
     quarantine_job,
     read_results,
     read_table_stream,
@@ -104,6 +105,8 @@ NETWORK = (LOCAL_NET, LOCAL_MASK)
 STREAM_PARTITIONS = 8
 # fixed limits of the limit_alerts query, in the range of the derived traffic
 QUERY_LIMITS = {"bytes_in": 1500, "bytes_out": 3000, "unique_flows": 15}
+# what the queries read of the alerts that a stream has written
+_ALERTS = "level STRING, title STRING, text STRING"
 
 
 def ntz(df: DataFrame) -> DataFrame:
@@ -491,19 +494,19 @@ def q_routed_sinks(spark, sf_dir):
     return ntz(rows.select("topic", "key", F.col("value").cast("bigint").alias("value"), "timestamp"))
 
 
+def _stored_in(path: str) -> Callable[[DataFrame, int], object]:
+    """A writer of micro-batches to a result table, which can be read although there was none to write."""
+    return lambda batch, number: publish_batch(batch, path, number)
+
+
 def q_alert_delivery(spark, sf_dir):
     """Warnings topic written, then delivered as alert rows by a stream."""
     configure(spark)
     topic, delivered = new_folder(spark, "warnings"), new_folder(spark, "alerts")
     write_topic(warning_records(_warnings(spark, sf_dir)), WARNINGS_TOPIC, fmt="parquet", path=topic)
     records = read_topic(spark, WARNINGS_TOPIC, fmt="parquet", path=topic, stream=True)
-
-    def store(alerts: DataFrame, batch: int) -> None:
-        alerts.write.mode("append").parquet(delivered)
-
-    deliver_alerts(records, store, available_now=True).awaitTermination()
-    schema = "severidade STRING, descricao STRING, level STRING, title STRING, text STRING"
-    return spark.read.schema(schema).parquet(delivered).select("level", "title", "text")
+    deliver_alerts(records, _stored_in(delivered), available_now=True).awaitTermination()
+    return read_results(spark, delivered, _ALERTS).drop("batch")
 
 
 def q_stream_latest_warnings(spark, sf_dir):
