@@ -516,16 +516,11 @@ def q_stream_latest_warnings(spark, sf_dir):
     third = F.day("window_start") % 3
     topic, delivered, checkpoint = (new_folder(spark, n) for n in ("warnings", "alerts", "stream"))
     source = {"fmt": "parquet", "path": topic}
-
-    def store(alerts: DataFrame, batch: int) -> None:
-        alerts.write.mode("append").parquet(delivered)
-
     for part in (0, 1, 2):
         records = warning_records(warnings.where(third == part))
         write_topic(records, WARNINGS_TOPIC, fmt="parquet", path=topic)
-        view_job(spark, source, store, checkpoint, available_now=True).awaitTermination()
-    schema = "severidade STRING, descricao STRING, level STRING, title STRING, text STRING"
-    return spark.read.schema(schema).parquet(delivered).select("level", "title", "text")
+        view_job(spark, source, _stored_in(delivered), checkpoint, available_now=True).awaitTermination()
+    return read_results(spark, delivered, _ALERTS).drop("batch")
 
 
 def _extreme(spark, sf_dir):
