@@ -765,9 +765,6 @@ def q_applications(spark, sf_dir):
     def sink(name: str) -> dict:
         return {**topic(name), "available_now": True, "partitions": STREAM_PARTITIONS}
 
-    def store(name: str):
-        return lambda batch, number: batch.write.mode("append").parquet(at[name])
-
     derived.frames(events_table(spark, sf_dir)).write.parquet(at["frames"])
     capture_job(
         read_frames(spark, at["frames"], stream=True), *NETWORK, sink("raw"), tick=TICK
@@ -777,15 +774,18 @@ def q_applications(spark, sf_dir):
     early = {"starting": "earliest"}
     split_job(spark, {**topic("aggregates"), **early}, sink("summaries")).awaitTermination()
     limit_job(
-        spark, {**topic("aggregates"), **early}, store("limits"), available_now=True,
+        spark, {**topic("aggregates"), **early}, _stored_in(at["limits"]), available_now=True,
         **QUERY_LIMITS,
     ).awaitTermination()
     view_job(
-        spark, {**topic("warnings"), **early}, store("alerts"), available_now=True
+        spark, {**topic("warnings"), **early}, _stored_in(at["alerts"]), available_now=True
     ).awaitTermination()
+    # a stage that has written nothing counts too
+    written = {name: spark.read.schema(TOPIC_ROWS).parquet(at[name]) for name in names[1:5]}
+    written |= {name: read_results(spark, at[name], _ALERTS) for name in names[5:]}
     counted = [
-        spark.read.parquet(at[name]).select(F.lit(name).alias("stage")).groupBy("stage").agg(F.count("*").alias("rows"))
-        for name in names[1:]
+        rows.agg(F.count("*").alias("rows")).select(F.lit(name).alias("stage"), "rows")
+        for name, rows in written.items()
     ]
     result = counted[0]
     for more in counted[1:]:

@@ -51,7 +51,7 @@ def brief_dir(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["alert_delivery", "stream_latest_warnings"])
+@pytest.mark.parametrize("name", ["alert_delivery", "stream_latest_warnings", "applications"])
 def test_query_without_warnings_gives_what_its_sql_gives(spark, brief_dir, name):
     db = tables(brief_dir)
     expected = db.execute(ORACLE[name]).fetchall()
