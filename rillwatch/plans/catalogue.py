@@ -13,6 +13,7 @@ from ..functions import (
     ip_to_text,
     one_decimal,
     protocol_name,
+    signed_zero,
     text_to_ip,
 )
 from ..functions.packets import ACK, FIN, RST, SYN, TCP
@@ -263,8 +264,8 @@ def q_flow_key(spark, sf_dir):
 def q_flow_record_json(spark, sf_dir):
     flows = _flows(spark, sf_dir).withColumn("flow_key", flow_key())
     # one decimal, so that the number prints the same everywhere
-    rounded = flows.withColumn("mean_iat_us", one_decimal(F.col("mean_iat_us")))
-    return rounded.select(flow_json().alias("value"))
+    rounded = flows.withColumns({"mean": F.col("mean_iat_us"), "mean_iat_us": one_decimal(F.col("mean_iat_us"))})
+    return rounded.select(signed_zero(flow_json(), "mean_iat_us", F.col("mean")).alias("value"))
 
 
 def q_flow_record_roundtrip(spark, sf_dir):

@@ -57,3 +57,25 @@ def test_query_without_warnings_gives_what_its_sql_gives(spark, brief_dir, name)
     expected = db.execute(ORACLE[name]).fetchall()
     found = [tuple(row) for row in QUERIES[name](spark, brief_dir).collect()]
     assert sorted(found) == sorted(expected)
+
+
+@pytest.fixture(scope="module")
+def tie_dir(spark, tmp_path_factory):
+    """One flow of 21 packets in a tick, whose mean gap is 27601632.95: a little less, as a DOUBLE."""
+    folder = str(tmp_path_factory.mktemp("tie"))
+    seq = F.col("id")
+    spark.range(21).select(
+        (seq * 5 + 1).alias("event_id"),
+        F.timestamp_micros(1704067200000000 + (seq * 27601632.95).cast("bigint")).cast("timestamp_ntz").alias("ts"),
+        F.lit(3).cast("bigint").alias("user_id"),
+        F.lit("click").alias("event_type"),
+        F.lit(10.0).alias("value"),
+        F.lit("").alias("props"),
+    ).coalesce(1).write.parquet(f"{folder}/table")
+    os.rename(glob.glob(f"{folder}/table/part-*.parquet")[0], f"{folder}/events.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["flow_record_json"])
+def test_query_rounds_the_mean_as_its_sql(spark, tie_dir, name):
+    assert compare(spark, tables(tie_dir), QUERIES[name], ORACLE[name], tie_dir) is None
