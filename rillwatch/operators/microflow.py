@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.addresses import ip_to_text
-from ..functions.numbers import micros_between, one_decimal
+from ..functions.numbers import micros_between, one_decimal, one_decimal_text, signed_zero
 from ..functions.packets import (
     ACK,
     FIN,
@@ -132,7 +132,7 @@ def flow_report(microflows: DataFrame) -> DataFrame:
         F.concat_ws("/", F.col("min_size").cast("string"), F.col("max_size").cast("string")).alias(
             "min_max"
         ),
-        F.concat(one_decimal(F.col("mean_iat_us")).cast("string"), F.lit(" us")).alias("mean_iat"),
+        F.concat(one_decimal_text(F.col("mean_iat_us")), F.lit(" us")).alias("mean_iat"),
         F.when(F.col("protocol") == "TCP", F.concat_ws("/", *counts))
         .otherwise("-")
         .alias("tcp_flags"),
