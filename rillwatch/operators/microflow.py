@@ -70,7 +70,7 @@ def microflow_aggregate(
 
 def microflow_json() -> Column:
     """The published text of a microflow; the mean has one decimal place."""
-    return F.to_json(
+    text = F.to_json(
         F.struct(
             "src_ip",
             "src_port",
@@ -86,6 +86,7 @@ def microflow_json() -> Column:
             "tcp",
         )
     )
+    return signed_zero(text, "mean_iat_us", F.col("mean_iat_us"))
 
 
 def microflow_records(microflows: DataFrame) -> DataFrame:

@@ -71,6 +71,22 @@ def test_report_line(spark):
     ]
 
 
+# means in microseconds whose shortest texts end in a 5 behind the tenths, exact ties among them
+MEANS = (0.05, 0.15, 0.25, 0.35, 0.75, 0.95, 27601632.95, 17850374.85, 23509067.05, 5000000.25, 5000000.75, 0.96,
+         -0.04, -0.05, -0.25, -17850374.85, 0.0, 2.0**58, 0.049999999999999996)
+
+
+def test_means_are_rounded_as_they_are_printed(spark):
+    gaps = [(1, 0.0, *FLOW, 1, 2), (2, 0.5, *FLOW, 2, 16)]
+    flow = microflow_aggregate(packet_rows(spark, gaps), NET, MASK)
+    means = flow.drop("mean_iat_us").crossJoin(spark.createDataFrame([(m,) for m in MEANS], "mean_iat_us DOUBLE"))
+    texts = means.select("mean_iat_us", microflow_json().alias("value"))
+    for mean, text in texts.collect():
+        assert f'"mean_iat_us":{mean:.1f},"tcp"' in text
+    report = flow_report(means).select("mean_iat").collect()
+    assert sorted(r.mean_iat for r in report) == sorted(f"{mean:.1f} us" for mean in MEANS)
+
+
 def test_totals_are_kept(spark, sf_dir):
     packets = derived.packets(derived.events_table(spark, sf_dir))
     flows = microflow_aggregate(packets, NET, MASK, tick="1 day")

@@ -76,6 +76,6 @@ def tie_dir(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["flow_record_json", "flow_report"])
+@pytest.mark.parametrize("name", ["flow_record_json", "flow_report", "microflow_json"])
 def test_query_rounds_the_mean_as_its_sql(spark, tie_dir, name):
     assert compare(spark, tables(tie_dir), QUERIES[name], ORACLE[name], tie_dir) is None
