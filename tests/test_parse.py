@@ -159,6 +159,22 @@ def test_bad_flow_record_raises(spark, text):
         read_flow_json(spark.createDataFrame([(text,)], "value STRING")).collect()
 
 
+def test_flow_record_is_read_by_its_types_and_judged_only_if_it_differs(spark):
+    flows = parse_flows(raw(spark, GOOD)).withColumn("mean_iat_us", F.lit(-0.0))
+    written = flows.select(flow_json().alias("value"))
+    read = read_flow_json(written)
+    assert str(read.first().mean_iat_us) == "-0.0"
+    text = read._jdf.queryExecution().executedPlan().toString()
+    assert "from_json" in text and "CASE WHEN NOT _same" in text
+    for bad in ('"packet_count":"x",', '"packet_count":1,"surprise":1,'):
+        wrong = F.replace("value", F.lit('"packet_count":9,'), F.lit(bad)).alias("value")
+        assert bad in written.select(wrong).first().value
+        with pytest.raises(Exception):
+            read_flow_json(written.select(wrong)).collect()
+    other = F.replace("value", F.lit('"packet_count":'), F.lit(' "packet_count": ')).alias("value")
+    assert read_flow_json(written.select(other)).first() == read.first()
+
+
 def test_missing_flow_record_fields_have_defaults(spark):
     row = read_flow_json(spark.createDataFrame([('{"src_ip":"a"}',)], "value STRING")).first()
     assert (row.src_ip, row.packet_count, row.timestamp, row.mean_iat_us) == ("a", 0, None, 0.0)
